@@ -140,7 +140,7 @@ class Place:
     offset: int
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 160, rounding: float = 0.8) -> tuple[list[Place], int]:
+def plan(histogram: dict[int, int], capacity: int, rounds: int = 160, rounding: float = 0.5) -> tuple[list[Place], int]:
     """Places for every item of the histogram, and the number of sequences.  No item exceeds ``capacity``.
 
     Only configurations without a gap are used, ``rounding`` of the program's share of each: what is left then has

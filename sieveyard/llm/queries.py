@@ -5,15 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from sieveyard.llm import packing, token_counts
+from pyspark.sql import functions as F
+
+from sieveyard.llm import language_id, main_text, near_duplicates, packing, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(of: int) -> Column:
+    """crc32 of doc_id as text, modulo ``of``; a null id falls in fold -1."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of, F.lit(-1))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(4) == 2)
+    model = language_id.fit(docs, train=~F.col("held_out"))
+    return language_id.identify(docs, model, lang_as="lang_pred", score_as="score", keep=["doc_id", "held_out"])
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold=0.8)
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -23,6 +44,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op7_main_text": op7_main_text,
     "op3_token_counts": op3_token_counts,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
