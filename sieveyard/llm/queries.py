@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from sieveyard.llm import language_id, main_text, near_duplicates, packing, token_counts
+from sieveyard.llm import embedding_duplicates, exact_topk, language_id, main_text, near_duplicates, packing, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,18 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op9_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates.embedding_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_topk.exact_topk(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_embedding_duplicates": op9_embedding_duplicates,
+    "op10_exact_topk": op10_exact_topk,
     "op1_language_id": op1_language_id,
     "op4_near_duplicates": op4_near_duplicates,
     "op7_main_text": op7_main_text,
