@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from sieveyard.llm import embedding_duplicates, exact_topk, language_id, main_text, near_duplicates, packing, substring_duplicates, token_counts
+from sieveyard.llm import class_lm, embedding_duplicates, exact_topk, language_id, main_text, near_duplicates, packing, substring_duplicates, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold=0.8)
 
 
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.class_lm(table(spark, sf_dir, "documents"), train=fold(10) != 0)
+
+
 def op6_substring_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_duplicates.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -58,6 +62,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_class_lm": op5_class_lm,
     "op6_substring_duplicates": op6_substring_duplicates,
     "op9_embedding_duplicates": op9_embedding_duplicates,
     "op10_exact_topk": op10_exact_topk,

@@ -170,7 +170,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     texts = base.select(F.col("__id").alias("id"), F.col(text_col).alias("text"))
     size = int(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"])
     bits = max(SEGMENT_BITS, min(most_bits, int(size // 6 * 4).bit_length()))
-    buckets, groups = max(256, size >> 22), max(256, size >> 22)
+    buckets, groups = max(256, size >> 24), max(256, size >> 24)
 
     def windows(batch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Words]]:
         data, offsets = buffers(batch.column(1))
