@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from sieveyard.llm import class_lm, embedding_duplicates, exact_topk, language_id, main_text, near_duplicates, packing, substring_duplicates, token_counts
+from sieveyard.llm import class_lm, embedding_duplicates, exact_topk, language_id, main_text, near_duplicates, packing, source_mix, substring_duplicates, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = source_mix.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), block_rows=16, period=2048, stop_share=0.8)
+    return out.select("doc_id", "source", "block", "slot", "kept")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -62,6 +67,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mix": op2_source_mix,
     "op5_class_lm": op5_class_lm,
     "op6_substring_duplicates": op6_substring_duplicates,
     "op9_embedding_duplicates": op9_embedding_duplicates,
@@ -73,4 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_source_mix": source_mix.ORACLE.format(period=2048, block=16, stop=0.8),
+}
