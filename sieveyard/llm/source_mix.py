@@ -94,6 +94,20 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     return cut.select(*kept_columns, "block", "slot", F.coalesce(F.col("slot") < F.col("slots"), F.lit(False)).alias("kept"))
 
 
+def take_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` that ``mix_sources`` keeps, with the columns of ``docs``.
+
+    The mix is laid over ids and sources alone.  What it keeps of a source are its first rows by md5 of the id, so one cut for
+    each source selects them and no text moves.  Rows that share the id at the cut all stay.
+    """
+    key = F.coalesce(F.concat(F.lit("1"), F.col(source_col).cast("string")), F.lit("0"))
+    mark = F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit(""))
+    mixed = mix_sources(docs.select(id_col, source_col), id_col=id_col, source_col=source_col, **options)
+    cuts = mixed.where("kept").groupBy(key.alias("__key")).agg(F.max(mark).alias("__cut"))
+    cut = docs.withColumn("__key", key).join(F.broadcast(cuts), "__key").where(mark <= F.col("__cut"))
+    return cut.select(*docs.columns)
+
+
 #: The same in DuckDB's SQL over ``documents``, for the default weights and the given constants.
 ORACLE = """
 with recursive sized as (

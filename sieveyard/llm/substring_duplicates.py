@@ -153,14 +153,14 @@ def kept_words(data: bytes, removed: np.ndarray) -> bytes:
     return b" ".join(words)
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", rows: int = 2, most_bits: int = 29, words_as: str = "n_words", removed_as: str = "n_removed") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", rows: int = 2, most_bits: int = 29, words_as: str = "n_words", removed_as: str = "n_removed", leave_untouched: bool = False) -> DataFrame:
     """``docs`` with each text less its repeated words, joined by single spaces, and the numbers of words and of removed words.
 
     A word goes if a window of ``window`` consecutive words covers it whose word sequence also starts earlier: in a document
     of a smaller id, or in the same one further left.  Windows are judged on the input.  Null and empty texts have no words
     and give an empty text, as do texts removed whole; none is dropped.  Shorter texts than a window stay.  Rows of the same id
     count as the same document: a window's first place is shared by all of them.  A null id comes after all others.  Ids are
-    integers.  Other columns pass through; columns named as the new ones are replaced.
+    integers.  With ``leave_untouched`` a text that loses no word keeps its white space, and a null its null.  Other columns pass through; columns named as the new ones are replaced.
 
     The sketch has up to ``rows * 2**most_bits`` bits (128 MB), the bound of what is broadcast.  Beyond some 10**9 windows it lets ever more
     windows pass to the exact grouping, which needs no sketch to be right.
@@ -276,7 +276,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
             removed = np.cumsum(change[:-1]) > 0
             for d in range(words.n):
                 a, b = words.first[d], words.first[d + 1]
-                texts_.append(kept_words(data[offsets[d] : offsets[d + 1]].tobytes(), removed[a:b]).decode())
+                if leave_untouched and not removed[a:b].any():
+                    texts_.append(column[i + d].as_py())
+                else:
+                    texts_.append(kept_words(data[offsets[d] : offsets[d + 1]].tobytes(), removed[a:b]).decode())
                 total.append(b - a)
                 gone.append(int(removed[a:b].sum()))
         out = left.drop_columns(["__group", "__id"])
