@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sieveyard.plans import corpus_queries, row_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return corpus_queries.QUERIES | row_queries.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return corpus_queries.ORACLES | row_queries.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The corpus funnel: each document with the first stage that drops it."""
+    return corpus_queries.corpus_funnel(spark, sf_dir)
