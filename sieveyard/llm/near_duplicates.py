@@ -9,7 +9,7 @@ equal) registers, then a check on the full sets.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from sieveyard.llm.components import components
 from sieveyard.llm.hashing import U, Words, buffers, chunks, mix
 from sieveyard.llm.staging import stage
+from sieveyard.llm.substring_duplicates import FLUSH, SEGMENT_BITS, CountMin, merged, repeated, sent
 
 REGISTERS, ROWS = 72, 3
 BASE, RATE, HIGHEST = 1.02, 20.0, 4000
@@ -124,24 +125,68 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame) -> DataFrame:
+    """``rep, set`` for ``wanted(rep, h1)``."""
+
     def run(batches):
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
+            data, offsets = buffers(batch.column(2))
+            sums = batch.column(1).to_numpy()
             for i, j in chunks(offsets):
                 doc, h = shingle_sets(Words(data, offsets[i : j + 1], lower=True), k)
                 ends = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["rep", "set"])
+                first = np.zeros(j - i, np.uint64)
+                if len(h):
+                    at = np.flatnonzero(np.diff(doc, prepend=-1))
+                    first[doc[at]] = np.add.reduceat(h, at)
+                own = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["rep", "set"])
+                yield own.filter(pa.array(first.view(np.int64) == sums[i:j]))  # of rows that share an id, those of that set
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted.hint("shuffle_hash"), "rep", "left_semi")
+    rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted.hint("shuffle_hash"), "rep").select("rep", "h1", "text")
     return rows.mapInArrow(run, f"rep {kind}, set array<long>")
 
 
+def _common(sets: DataFrame, shingles: int, kind: str) -> DataFrame:
+    """``rep, common``: at least as many shingles as a set shares with all the other sets together.
+
+    A count-min sketch of all shingles says which occur more than once, never that one does not.  At most 128 MB are broadcast.
+    """
+    bits = max(SEGMENT_BITS, min(29, int(max(1, shingles) * 4).bit_length()))
+
+    def hashes(column) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+    def sketch(batches):
+        own, held = CountMin(bits, 2), 0
+        for batch in batches:
+            h = hashes(batch.column(0))
+            own.add(h)
+            held += len(h)
+            if held > FLUSH:
+                yield from sent(own)
+                held = 0
+        yield from sent(own)
+
+    found = sets.select("set").mapInArrow(sketch, "segment long, once binary, more binary").groupBy("segment").applyInArrow(merged, "segment long, more binary").toArrow()
+    shared = sets.sparkSession.sparkContext.broadcast((uuid.uuid4().int, bits, 2, list(zip(found.column("segment").to_pylist(), found.column("more").to_pylist()))))
+
+    def count(batches):
+        again = repeated(shared)
+        for batch in batches:
+            size = batch.column(1).value_lengths().to_numpy()
+            hit = np.concatenate([[0], np.cumsum(again.test(hashes(batch.column(1))))])
+            stop = np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((hit[stop] - hit[stop - size]).astype(np.int64))], names=["rep", "common"])
+
+    return sets.mapInArrow(count, f"rep {kind}, common long")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Of ``pairs(a, b)`` those linked."""
-    left = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
-    right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-    sized = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(100 * threshold))
+    """Of ``pairs(a, b)`` those linked: by size, by the registers' likelihood, then by the sets."""
+    left = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("regs").alias("ra"))
+    right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("regs").alias("rb"))
+    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(100 * threshold)) & (F.col("na") <= F.col("mb")) & (F.col("nb") <= F.col("ma"))
+    sized = pairs.join(left, "a").join(right, "b").where(fits)
 
     def run(batches):
         for batch in batches:
@@ -166,10 +211,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     Null, empty and wordless texts have no shingle and are linked with nothing.  Under ``k`` words the whole sequence is the one
     shingle.  Repeated rows count as copies.  A null id is in no link and is kept.  Other columns are ignored.
 
-    Copies (equal sets) count once.  In a bucket each document is first compared with the one that meets most others,
-    not with all; then whoever is in another component than that one, with the bucket's rest, again star by
-    star while that would be more than ``dense`` pairs a member, in the end with all of them.  So no pair between
-    components is left untested, and a group of near copies costs one comparison a copy.
+    Copies (equal sets) count once.  A set with too few shingles that occur anywhere else has no partner, or none over some
+    size.  In a bucket each document is first compared with the one that meets most others, not with all; then whoever is
+    in another component than that one, with all of fitting size in the bucket's rest, again star by star while that would be more
+    than ``dense`` pairs a member, in the end with all of them.  So no pair between components is left untested.
     """
     found = stage(_sketches(docs, id_col, text_col, k), "sketches")
     filled = found.where("n > 0 and id is not null")
@@ -181,9 +226,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     shared = keyed.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
     members = stage(keyed.join(shared, "key"), "members")
     met = members.groupBy("rep").agg(F.sum("met").alias("meets"))
-    sets = stage(_sets(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k, met.select("rep")).dropDuplicates(["rep"]), "sets")
-    members = stage(members.join(met, "rep").select("key", "rep", "meets"), "met")
-    near = reps.join(met.select("rep"), "rep", "left_semi").select("rep", "n", "regs")
+    met = stage(met, "met")
+    wanted = reps.join(met.select("rep"), "rep", "left_semi").select("rep", "h1")
+    sets = stage(_sets(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k, wanted), "sets")
+    share = round(100 * threshold)
+    shingles = int(reps.join(met.select("rep"), "rep", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
+    kind = docs.schema[id_col].dataType.simpleString()
+    common = _common(sets, shingles, kind).groupBy("rep").agg(F.max("common").alias("common"))
+    # two sets of n and m shingles are linked if they share share / (100 + share) of n + m
+    most = F.floor(F.col("common") * (100 + share) / share).cast("long") - F.col("n")
+    near = reps.join(common, "rep").select("rep", "n", "regs", most.alias("most")).where(F.col("most") * 100 >= F.col("n") * share)
+    near = stage(near, "near")
+    members = stage(members.select("key", "rep").join(met, "rep").join(near.select("rep", "n", "most"), "rep").select("key", "rep", "meets", "n", "most"), "members")
 
     def star(rows: DataFrame) -> DataFrame:
         """The document of each bucket that meets most others; among equals the smallest."""
@@ -203,14 +257,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
         sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("size"))
         largest = sizes.groupBy("key").agg(F.max(F.struct("size", (-F.col("component")).alias("low"))).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("all"))
         largest = largest.where("parts > 1").select("key", (-F.col("top.low")).alias("main"), F.col("all"))
-        mixed = stage(labelled.join(largest, "key"), "mixed")
-        rest = mixed.where("component <> main")
+        mixed = stage(labelled.join(largest.join(labelled.groupBy("key").agg(F.min("n").alias("least")), "key"), "key"), "mixed")
+        rest = mixed.where("component <> main and most >= least")
         cost = int(rest.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("n")).first()["n"])
         if not cost:
             break
         few = cost <= dense * total + 100_000
-        start = (rest if few else rest.join(star(rest).withColumnRenamed("hub", "rep"), ["key", "rep"])).select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-        pairs = canonical(start.join(mixed.select("key", F.col("rep").alias("b"), "component"), "key").where("ca <> component").select("a", "b"))
+        start = (rest if few else rest.join(star(rest).withColumnRenamed("hub", "rep"), ["key", "rep"])).select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"))
+        other = mixed.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"))
+        fits = (start["key"] == other["key"]) & (F.col("ca") != F.col("cb")) & (F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * share)
+        pairs = canonical(start.join(other, fits).select("a", "b"))
         more = stage(_verified(pairs, near, sets, threshold), "links")
         links = links.unionByName(more)
         if few:

@@ -99,7 +99,7 @@ class Repeated:
 _held: dict[int, Repeated] = {}
 
 
-def _repeated(shared) -> Repeated:
+def repeated(shared) -> Repeated:
     """One copy of the merged sketch in each Python worker."""
     key = shared.value[0]
     if key not in _held:
@@ -132,6 +132,27 @@ class Places:
         return h[first], ids[first], at[first]
 
 
+def sent(own: CountMin):
+    out: list[list] = [[], [], []]
+    for found in own.segments():
+        for c, v in zip(out, found, strict=True):
+            c.append(v)
+        if len(out[0]) >= 1024:
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["segment", "once", "more"])
+            out = [[], [], []]
+    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["segment", "once", "more"])
+
+
+def merged(t: pa.Table) -> pa.Table:
+    seen = np.zeros(1 << SEGMENT_BITS, np.uint8)
+    for a, b in zip(t.column("once"), t.column("more")):
+        at = unpack(a.as_py())
+        seen[at] = np.minimum(seen[at] + 1, 2)
+        seen[unpack(b.as_py())] = 2
+    bitmap = zlib.compress(np.packbits(seen == 2, bitorder="little").tobytes(), 1)
+    return pa.table({"segment": t.column("segment")[:1], "more": pa.array([bitmap], pa.binary())})
+
+
 def to_blob(*columns: np.ndarray) -> bytes:
     return zlib.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns), 1)
 
@@ -189,34 +210,15 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                     held = 0
         yield from sent(own)
 
-    def sent(own: CountMin):
-        out: list[list] = [[], [], []]
-        for found in own.segments():
-            for c, v in zip(out, found, strict=True):
-                c.append(v)
-            if len(out[0]) >= 1024:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["segment", "once", "more"])
-                out = [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["segment", "once", "more"])
-
-    def merged(t: pa.Table) -> pa.Table:
-        seen = np.zeros(1 << SEGMENT_BITS, np.uint8)
-        for a, b in zip(t.column("once"), t.column("more")):
-            at = unpack(a.as_py())
-            seen[at] = np.minimum(seen[at] + 1, 2)
-            seen[unpack(b.as_py())] = 2
-        bitmap = zlib.compress(np.packbits(seen == 2, bitorder="little").tobytes(), 1)
-        return pa.table({"segment": t.column("segment")[:1], "more": pa.array([bitmap], pa.binary())})
-
     found = texts.mapInArrow(sketch, "segment long, once binary, more binary").groupBy("segment").applyInArrow(merged, "segment long, more binary").toArrow()
     shared = spark.sparkContext.broadcast((uuid.uuid4().int, bits, rows, list(zip(found.column("segment").to_pylist(), found.column("more").to_pylist()))))
 
     def candidates(batches):
-        repeated, own = _repeated(shared), Places()
+        again, own = repeated(shared), Places()
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at, h, texts_at, words in windows(batch):
-                on = repeated.test(h)
+                on = again.test(h)
                 at, h = at[on], h[on]
                 doc = words.doc[at]
                 own.add(h, ids[texts_at][doc], (at - words.first[doc]).astype(np.int32))
@@ -248,7 +250,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     schema = StructType([*[StructField(f.name, f.dataType, True) for f in docs.drop(words_as, removed_as).schema], StructField(words_as, LongType()), StructField(removed_as, LongType())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        repeated = _repeated(shared)
+        again = repeated(shared)
         parts = [from_blob(b.as_py(), "i8", "i4") for b in right.column("owned")]
         owned = np.concatenate([x for x, _ in parts]) if parts else np.empty(0, np.int64)
         where = np.concatenate([x for _, x in parts]) if parts else np.empty(0, np.int32)
@@ -260,19 +262,19 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
             data, offsets = buffers(column.slice(i, j - i))
             words = Words(data, offsets, lower=False)
             at, h = words.windows(window)
-            on = repeated.test(h)
+            on = again.test(h)
             at = at[on]
             doc = words.doc[at]
             ids = left.column("__id").to_numpy()[i:j]
             start = at - words.first[doc]
             lo, hi = np.searchsorted(owned, ids[doc], "left"), np.searchsorted(owned, ids[doc], "right")
-            again = np.ones(len(at), dtype=bool)
+            later = np.ones(len(at), dtype=bool)
             for k in np.flatnonzero(np.diff(doc, prepend=-1)):  # one text's candidates at a time
                 e = k + np.searchsorted(doc[k:], doc[k], "right")
-                again[k:e] = ~np.isin(start[k:e], where[lo[k] : hi[k]], assume_unique=False)
+                later[k:e] = ~np.isin(start[k:e], where[lo[k] : hi[k]], assume_unique=False)
             change = np.zeros(len(words.hash) + 1, np.int64)
-            np.add.at(change, at[again], 1)
-            np.add.at(change, at[again] + window, -1)
+            np.add.at(change, at[later], 1)
+            np.add.at(change, at[later] + window, -1)
             removed = np.cumsum(change[:-1]) > 0
             for d in range(words.n):
                 a, b = words.first[d], words.first[d + 1]
