@@ -86,7 +86,7 @@ def anchors(convs: DataFrame, least: int = 600, most: int = 1200, n: int = 3) ->
     return convs.where((F.size("turns") == 2) & F.length(F.get("turns", F.lit(1))["text"]).between(least, most)).orderBy("conv_id").limit(n).select("conv_id")
 
 
-def running_total(rows: DataFrame, group: list[str], order: list[str], amount: str, as_: str, bucket: Column) -> DataFrame:
+def running_total(rows: DataFrame, group: list[str], order: list[str | Column], amount: str, as_: str, bucket: Column) -> DataFrame:
     """Running sums within groups in two passes: sums of ordered buckets, then within each bucket.
 
     ``bucket`` must not fall along the order.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sieveyard.functions import text as T
@@ -59,9 +58,9 @@ def _scores(spark, sf_dir):
 
 @query(f"with {SCORES} select vec_id, round(score, 4) as score, row_number() over (order by round(score, 4) desc, vec_id) as rank from s")
 def centroid_rank(spark, sf_dir):
-    s = _scores(spark, sf_dir).select("vec_id", F.round("score", 4).alias("score"))
-    ordered = s.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "vec_id")))
-    return ordered.select("vec_id", "score", F.col("rank").cast("long").alias("rank"))
+    s = _scores(spark, sf_dir).select("vec_id", F.round("score", 4).alias("score"), F.lit(1).alias("one"))
+    ranked = preferences.running_total(s, [], [F.col("score").desc(), "vec_id"], "one", "rank", F.floor(-F.col("score") * 4096))
+    return ranked.select("vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""with {SCORES} select round((avg(case when label < 5 then (score > 0)::int end) + avg(case when label >= 5 then (score <= 0)::int end)) / 2, 6) as balanced_accuracy,
