@@ -10,6 +10,7 @@ on at most ``capacity`` lengths, however many documents there are; the documents
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -32,35 +33,48 @@ OUTSIDE = "[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ňŊ-ɏ‐-‧‰-⁞
 
 
 class WordIds(dict):
-    """A bounded cache: word -> its ids as little-endian unsigned 32-bit integers."""
+    """A bounded cache: a stretch without white space -> its ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str, most: int = 600_000):
+    No word of the pattern holds white space, so stretches are encoded one by one; their words have a cache of their own.
+    """
+
+    def __init__(self, path: str, most: int = 1_000_000):
         super().__init__()
+        self.of_word: dict[str, bytes] = {}
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.quick, self.words, self.outside = re.compile(QUICK), regex.compile(WORDS), re.compile(OUTSIDE)
+        self.control = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the pattern
+        fast = json.loads(self.tokenizer.to_str())  # words come lower-cased and cut, so they go to the merges at once
+        fast |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+        self.merges = Tokenizer.from_str(json.dumps(fast))
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, stretch: str) -> bytes:
         if len(self) > self.most:
             self.clear()
-        out = self[word] = self.encode(word)
+        found = (self.words if self.outside.search(stretch) else self.quick).findall(stretch)
+        out = self[stretch] = b"".join([self.of_word.get(w) or self.learn(w) for w in found])
+        return out
+
+    def learn(self, word: str) -> bytes:
+        if len(self.of_word) > self.most:
+            self.of_word.clear()
+        out = self.of_word[word] = np.array(self.merges.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
     def ids(self, text: str) -> bytes:
         """As the library gives them; texts with special strings or unusual characters go to it whole."""
         if "<|" in text and any(s in text for s in self.special):
             return self.encode(text)
-        if self.outside.search(text):
-            if not is_normalized("NFC", text) or "Σ" in text or "İ" in text:
-                return self.encode(text)
-            return b"".join(map(self.__getitem__, self.words.findall(text.lower())))
-        return b"".join(map(self.__getitem__, self.quick.findall(text.lower())))
+        if self.outside.search(text) and (not is_normalized("NFC", text) or "Σ" in text or "İ" in text or self.control.search(text)):
+            return self.encode(text)
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
