@@ -35,6 +35,25 @@ def byte_letters() -> dict[str, int]:
     return out
 
 
+#: A space beside other white space.  Without any, each space starts a piece, so that stretches between spaces are counted one by one.
+BESIDE = re.compile(r" \s|\s ")
+
+
+class Spaced(dict):
+    """A bounded cache: stretch without spaces -> token count of a space and the stretch."""
+
+    def __init__(self, counter: PrefixCounter):
+        super().__init__()
+        self.counter = counter
+
+    def __missing__(self, stretch: str) -> int:
+        if len(self) > self.counter.most:
+            self.clear()
+        text = " " + stretch
+        n = self[stretch] = sum(map(self.counter.__getitem__, self.counter.pattern(text).findall(text)))
+        return n
+
+
 class PrefixCounter(dict):
     """A bounded cache: piece -> token count; ``prefixes(piece)`` gives the count at every byte prefix.
 
@@ -55,11 +74,15 @@ class PrefixCounter(dict):
             a, b = map(raw, m.split(" ") if isinstance(m, str) else m)
             self.parts.append((self.vocab[a], self.vocab[b]))
             self.made[self.parts[-1]] = self.vocab[a + b] = i
-        self.longest = max(map(len, self.vocab))
+        self.longest: dict[bytes, int] = {}  # by a token's last three bytes
+        for token in self.vocab:
+            if len(token) > 2:
+                self.longest[token[-3:]] = max(len(token), self.longest.get(token[-3:], 0))
         self.split = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.pieces = regex.compile(PIECES)
         self.quick = re.compile(QUICK)
         self.outside = re.compile(OUTSIDE)
+        self.spaced: dict[str, int] = Spaced(self)
         self.stable: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.most = most
@@ -95,9 +118,10 @@ class PrefixCounter(dict):
         """Token counts of the piece's byte prefixes of length 0, 1, ..."""
         data = piece.encode()
         last, count = [-1], [0]
-        token_of, stable, longest = self.vocab.get, self.stable, self.longest
+        token_of, stable, longest, whole = self.vocab.get, self.stable, self.longest.get, self.whole
         for i in range(1, len(data) + 1):
-            for j in range(i - longest if i > longest else 0, i):
+            most = longest(data[i - 3 : i], 2) if i > 2 else i
+            for j in range(i - most if i > most else 0, i):
                 token = token_of(data[j:i])
                 if token is not None:
                     if j:
@@ -108,7 +132,9 @@ class PrefixCounter(dict):
                                 stable.clear()
                             ok = stable[key] = self.itself(token) and self.apart(last[j], token)
                     else:
-                        ok = self.itself(token)
+                        ok = whole.get(token)
+                        if ok is None:
+                            ok = self.itself(token)
                     if ok:
                         last.append(token)
                         count.append(count[j] + 1)
@@ -138,15 +164,21 @@ class PrefixCounter(dict):
     def count(self, text: str) -> int:
         find = self.pattern(text).findall
         if not any(s in text for s in self.special):
-            return sum(map(self.__getitem__, find(text)))
+            if BESIDE.search(text):
+                return sum(map(self.__getitem__, find(text)))
+            first, _, rest = text.partition(" ")
+            n = sum(map(self.__getitem__, find(first)))
+            return n + sum(map(self.spaced.__getitem__, rest.split(" "))) if _ else n
         return sum(1 if special else sum(map(self.__getitem__, find(text[a:b]))) for a, b, special in self.segments(text))
 
 
 class PrefixCounts:
     """Exact token counts of every prefix of one text."""
 
-    def __init__(self, counter: PrefixCounter, text: str):
+    def __init__(self, counter: PrefixCounter, text: str, upto: int | None = None):
+        """With ``upto`` only as far as the first piece that goes beyond so many tokens."""
         self.counter, self.text = counter, text
+        total = 0
         self.specials: list[tuple[int, int]] = []
         ends, counts = [0], [0]
         find = counter.pattern(text).finditer
@@ -155,10 +187,16 @@ class PrefixCounts:
                 self.specials.append((a, b))
                 ends.append(b)
                 counts.append(1)
+                total += 1
             else:
                 for m in find(text[a:b]):
                     ends.append(a + m.end())
                     counts.append(counter[m.group()])
+                    total += counts[-1]
+                    if upto is not None and total > upto:
+                        break
+            if upto is not None and total > upto:
+                break
         self.ends, self.sums = ends, list(accumulate(counts))
 
     def total(self) -> int:
@@ -201,7 +239,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
                 size.append(len(text.encode()))
                 n = counter.count(text)
                 tokens.append(n)
-                reach.append(len(text) if n <= limit else PrefixCounts(counter, text).reach(limit))
+                reach.append(len(text) if n <= limit else PrefixCounts(counter, text, limit).reach(limit))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(reach, pa.int64())],
                 names=["id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
