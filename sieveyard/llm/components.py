@@ -8,9 +8,28 @@ from pyspark.sql import functions as F
 from sieveyard.llm.staging import stage
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
-    return int(row["n"]), int(row["s"])
+def _round(e: DataFrame) -> DataFrame:
+    """A large and a small star over edges a > b."""
+    both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = large.groupBy("a").agg(F.min("b").alias("m"))
+    return large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def _settled(e: DataFrame) -> bool:
+    """Each node has one smaller neighbour, and that has none."""
+    twice = e.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return not twice and not e.select(F.col("b").alias("a")).distinct().join(e, "a", "left_semi").limit(1).count()
+
+
+def _edges(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` after one round: nodes with one label are connected, connected ones may still have several."""
+    return _round(_edges(edges)).groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -20,21 +39,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round joins edges to each node's smallest neighbour, hot nodes included (those joins can be split), and
     stages the result; the number of rounds grows with the logarithm of the number of nodes.
     """
-    e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = _state(e)
+    e = stage(_edges(edges), "edges")
     for _ in range(rounds):
-        if not before[0]:
-            break
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        e = stage(small, "stars")
-        after = _state(e)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        if _settled(e):
+            return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        e = stage(_round(e), "stars")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -13,10 +13,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveyard.llm.components import components
+from sieveyard.llm.components import components, labels
 from sieveyard.llm.hashing import U, Words, buffers, chunks, mix
 from sieveyard.llm.staging import stage
 from sieveyard.llm.substring_duplicates import FLUSH, SEGMENT_BITS, CountMin, merged, repeated, sent
@@ -124,13 +125,42 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, h1 long, h2 long, regs binary")
 
 
+def _sketched(hashes: DataFrame, bits: int, rows: int, times: int = 1) -> Broadcast:
+    """The merged count-min sketch of a column of hash lists, broadcast: 2**``bits`` bits for each of ``rows``.
+
+    With each hash added twice the sketch tells members from others.
+    """
+
+    def sketch(batches):
+        own, held = CountMin(bits, rows), 0
+        for batch in batches:
+            h = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            for _ in range(times):
+                own.add(h)
+            held += len(h) * times
+            if held > FLUSH:
+                yield from sent(own)
+                held = 0
+        yield from sent(own)
+
+    found = hashes.mapInArrow(sketch, "segment long, once binary, more binary").groupBy("segment").applyInArrow(merged, "segment long, more binary").toArrow()
+    return hashes.sparkSession.sparkContext.broadcast((uuid.uuid4().int, bits, rows, list(zip(found.column("segment").to_pylist(), found.column("more").to_pylist()))))
+
+
+def bits_for(n: int, cells: int) -> int:
+    """A row of ``cells`` cells for each of n keys, at most 2**28."""
+    return max(SEGMENT_BITS, min(28, (max(1, n) * cells).bit_length()))
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame) -> DataFrame:
-    """``rep, set`` for ``wanted(rep, h1)``."""
+    """``rep, h1, set`` for the ids of ``wanted(rep)`` and few others: a sketch of the ids goes to the texts, which are not shuffled."""
+    chosen = _sketched(wanted.select(F.array(F.xxhash64("rep")).alias("h")), bits_for(wanted.count(), 8), 3, times=2)
 
     def run(batches):
+        known = repeated(chosen)
         for batch in batches:
+            batch = batch.filter(pa.array(known.test(batch.column(1).to_numpy().view(np.uint64))))
             data, offsets = buffers(batch.column(2))
-            sums = batch.column(1).to_numpy()
             for i, j in chunks(offsets):
                 doc, h = shingle_sets(Words(data, offsets[i : j + 1], lower=True), k)
                 ends = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
@@ -138,66 +168,48 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame
                 if len(h):
                     at = np.flatnonzero(np.diff(doc, prepend=-1))
                     first[doc[at]] = np.add.reduceat(h, at)
-                own = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["rep", "set"])
-                yield own.filter(pa.array(first.view(np.int64) == sums[i:j]))  # of rows that share an id, those of that set
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(first.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["rep", "h1", "set"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted.hint("shuffle_hash"), "rep").select("rep", "h1", "text")
-    return rows.mapInArrow(run, f"rep {kind}, set array<long>")
+    return docs.select(F.col(id_col).alias("rep"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text")).mapInArrow(run, f"rep {kind}, h1 long, set array<long>")
 
 
 def _common(sets: DataFrame, shingles: int, kind: str) -> DataFrame:
-    """``rep, common``: at least as many shingles as a set shares with all the other sets together.
+    """``rep, h1, common``: at least as many shingles as a set shares with all the other sets together.
 
-    A count-min sketch of all shingles says which occur more than once, never that one does not.  At most 128 MB are broadcast.
+    A count-min sketch of all shingles says which occur more than once, never that one does not.
     """
-    bits = max(SEGMENT_BITS, min(29, int(max(1, shingles) * 4).bit_length()))
-
-    def hashes(column) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-
-    def sketch(batches):
-        own, held = CountMin(bits, 2), 0
-        for batch in batches:
-            h = hashes(batch.column(0))
-            own.add(h)
-            held += len(h)
-            if held > FLUSH:
-                yield from sent(own)
-                held = 0
-        yield from sent(own)
-
-    found = sets.select("set").mapInArrow(sketch, "segment long, once binary, more binary").groupBy("segment").applyInArrow(merged, "segment long, more binary").toArrow()
-    shared = sets.sparkSession.sparkContext.broadcast((uuid.uuid4().int, bits, 2, list(zip(found.column("segment").to_pylist(), found.column("more").to_pylist()))))
+    shared = _sketched(sets.select("set"), bits_for(shingles, 4), 2)
 
     def count(batches):
         again = repeated(shared)
         for batch in batches:
-            size = batch.column(1).value_lengths().to_numpy()
-            hit = np.concatenate([[0], np.cumsum(again.test(hashes(batch.column(1))))])
+            size = batch.column(2).value_lengths().to_numpy()
+            hit = np.concatenate([[0], np.cumsum(again.test(batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)))])
             stop = np.cumsum(size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((hit[stop] - hit[stop - size]).astype(np.int64))], names=["rep", "common"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array((hit[stop] - hit[stop - size]).astype(np.int64))], names=["rep", "h1", "common"])
 
-    return sets.mapInArrow(count, f"rep {kind}, common long")
+    return sets.mapInArrow(count, f"rep {kind}, h1 long, common long")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of ``pairs(a, b)`` those linked: by size, by the registers' likelihood, then by the sets."""
-    left = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("regs").alias("ra"))
-    right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("regs").alias("rb"))
+    left = reps.select(F.col("rep").alias("a"), F.col("h1").alias("ha"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("regs").alias("ra"))
+    right = reps.select(F.col("rep").alias("b"), F.col("h1").alias("hb"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("regs").alias("rb"))
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(100 * threshold)) & (F.col("na") <= F.col("mb")) & (F.col("nb") <= F.col("ma"))
     sized = pairs.join(left, "a").join(right, "b").where(fits)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int16).reshape(-1, REGISTERS) for i in (4, 5))
-                ok = plausible(a, b, batch.column(2).to_numpy().astype(float), batch.column(3).to_numpy().astype(float), threshold)
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:4]], names=["a", "b", "na", "nb"])
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int16).reshape(-1, REGISTERS) for i in (6, 7))
+                ok = plausible(a, b, batch.column(4).to_numpy().astype(float), batch.column(5).to_numpy().astype(float), threshold)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:6]], names=["a", "b", "ha", "hb", "na", "nb"])
 
     kind = reps.schema["rep"].dataType.simpleString()
-    likely = sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, f"a {kind}, b {kind}, na long, nb long")
-    both = likely.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
+    likely = sized.select("a", "b", "ha", "hb", "na", "nb", "ra", "rb").mapInArrow(run, f"a {kind}, b {kind}, ha long, hb long, na long, nb long")
+    side = lambda x: sets.select(F.col("rep").alias(x), F.col("h1").alias("h" + x), F.col("set").alias("s" + x))
+    both = likely.join(side("a"), ["a", "ha"]).join(side("b"), ["b", "hb"])
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.withColumn("shared", shared).where(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * round(100 * threshold)).select("a", "b")
 
@@ -227,53 +239,50 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     members = stage(keyed.join(shared, "key"), "members")
     met = members.groupBy("rep").agg(F.sum("met").alias("meets"))
     met = stage(met, "met")
-    wanted = reps.join(met.select("rep"), "rep", "left_semi").select("rep", "h1")
-    sets = stage(_sets(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k, wanted), "sets")
+    sets = stage(_sets(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k, met.select("rep")), "sets")
     share = round(100 * threshold)
-    shingles = int(reps.join(met.select("rep"), "rep", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
-    kind = docs.schema[id_col].dataType.simpleString()
-    common = _common(sets, shingles, kind).groupBy("rep").agg(F.max("common").alias("common"))
+    shingles = int(sets.agg(F.coalesce(F.sum(F.size("set")), F.lit(0)).alias("n")).first()["n"])
+    common = _common(sets, shingles, docs.schema[id_col].dataType.simpleString()).groupBy("rep", "h1").agg(F.max("common").alias("common"))
     # two sets of n and m shingles are linked if they share share / (100 + share) of n + m
     most = F.floor(F.col("common") * (100 + share) / share).cast("long") - F.col("n")
-    near = reps.join(common, "rep").select("rep", "n", "regs", most.alias("most")).where(F.col("most") * 100 >= F.col("n") * share)
+    near = reps.join(common, ["rep", "h1"]).select("rep", "h1", "n", "regs", most.alias("most")).where(F.col("most") * 100 >= F.col("n") * share)
     near = stage(near, "near")
     members = stage(members.select("key", "rep").join(met, "rep").join(near.select("rep", "n", "most"), "rep").select("key", "rep", "meets", "n", "most"), "members")
 
     def star(rows: DataFrame) -> DataFrame:
-        """The document of each bucket that meets most others; among equals the smallest."""
-        top = rows.groupBy("key").agg(F.max("meets").alias("meets"))
-        return rows.join(top, ["key", "meets"]).groupBy("key").agg(F.min("rep").alias("hub"))
+        """The document of each bucket that meets most others, among equals the smallest; the smallest set; the number."""
+        top = rows.groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("low"))).alias("top"), F.min("n").alias("least"), F.count("*").alias("all"))
+        return top.select("key", (-F.col("top.low")).alias("hub"), "least", "all")
 
     def canonical(rows: DataFrame) -> DataFrame:
         return rows.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    pairs = canonical(members.join(star(members), "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+    hubs = stage(star(members).where(F.col("all") > 1), "hubs")
+    pairs = canonical(members.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
     links = stage(_verified(pairs, near, sets, threshold), "links")
     total = members.count()
-    while True:
-        joined = components(links)
-        labelled = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        # a bucket's largest component needs no search; ties to the smallest
-        sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("size"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("size", (-F.col("component")).alias("low"))).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("all"))
-        largest = largest.where("parts > 1").select("key", (-F.col("top.low")).alias("main"), F.col("all"))
-        mixed = stage(labelled.join(largest.join(labelled.groupBy("key").agg(F.min("n").alias("least")), "key"), "key"), "mixed")
+    few = False
+    while not few:
+        # labels need not be final: what has the same is connected, and that is all they are asked
+        label = stage(labels(links), "labels")
+        own = F.coalesce("component", "rep")
+        of_hub = hubs.join(label.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("component", "hub").alias("main"), "least", "all")
+        labelled = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", own)
+        mixed = stage(labelled.join(of_hub, "key"), "mixed")
         rest = mixed.where("component <> main and most >= least")
         cost = int(rest.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("n")).first()["n"])
         if not cost:
             break
         few = cost <= dense * total + 100_000
-        start = (rest if few else rest.join(star(rest).withColumnRenamed("hub", "rep"), ["key", "rep"])).select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"))
+        start = (rest if few else rest.join(star(rest).select("key", F.col("hub").alias("rep")), ["key", "rep"])).select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"))
         other = mixed.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"))
         fits = (start["key"] == other["key"]) & (F.col("ca") != F.col("cb")) & (F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * share)
         pairs = canonical(start.join(other, fits).select("a", "b"))
         more = stage(_verified(pairs, near, sets, threshold), "links")
-        links = links.unionByName(more)
-        if few:
-            joined = components(links)
-            break
-        if not more.count():  # stars no longer find any; compare all that is left
+        if not few and not more.limit(1).count():  # stars no longer find any; compare all that is left
             dense = 1 << 40
+        links = stage(links.unionByName(more), "links")
+    joined = components(links)
     named = reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = found.select("id", "n", "h1", "h2", (F.col("n") > 0).alias("has")).join(named.withColumn("has", F.lit(True)), ["h1", "h2", "has"], "left")
     component = F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "id"))
