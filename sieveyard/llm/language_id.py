@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveyard.llm.worker_cache import release
+
 UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}+")
 QUICK = re.compile(r"[^\W\d_]+")
@@ -97,7 +99,7 @@ def fit(docs: DataFrame, train: Column | None = None, per_language: int = 250, o
 class Scorer(dict):
     """word -> row of ``scores``; bounded."""
 
-    def __init__(self, model: LanguageModel, most: int = 400_000):
+    def __init__(self, model: LanguageModel, most: int = 250_000):
         super().__init__()
         self.model, self.scores = model, np.zeros((most, max(1, len(model.languages))), np.float32)
 
@@ -131,6 +133,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
     names = [c for c in (keep if keep is not None else docs.columns) if c not in (lang_as, score_as)]
 
     def run(batches):
+        release()
         scorer = Scorer(shared.value)
         for batch in batches:
             out = [scorer.predict(t.as_py()) for t in batch.column(0)]

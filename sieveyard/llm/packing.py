@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveyard.llm.staging import stage
+from sieveyard.llm.worker_cache import release
 
 #: Fixed value: the word pattern of the vocabulary with word ends.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -81,6 +82,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str,
     """``id, piece, start, length, ids_crc32``: each document's ids and ``end_id``, cut only beyond ``capacity``."""
 
     def run(batches):
+        release()
         words, end = WordIds(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]

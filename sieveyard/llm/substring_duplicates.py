@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from sieveyard.llm.hashing import U, Words, buffers, chunks, mix
+from sieveyard.llm.worker_cache import held
 
 SEGMENT_BITS = 18
-FLUSH = 6_000_000
+FLUSH = 3_000_000
 
 
 def cells_of(h: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -96,16 +97,9 @@ class Repeated:
         return out
 
 
-_held: dict[int, Repeated] = {}
-
-
 def repeated(shared) -> Repeated:
     """One copy of the merged sketch in each Python worker."""
-    key = shared.value[0]
-    if key not in _held:
-        _held.clear()
-        _held[key] = Repeated(*shared.value[1:])
-    return _held[key]
+    return held(shared.value[0], lambda: Repeated(*shared.value[1:]))
 
 
 class Places:
