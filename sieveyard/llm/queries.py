@@ -45,7 +45,8 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = source_mix.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), block_rows=16, period=2048, stop_share=0.8)
+    # ``kept`` ends as the query's SQL has it; the pipeline's mix keeps last blocks whole
+    out = source_mix.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), block_rows=16, period=2048, stop_share=0.8, whole_blocks=False)
     return out.select("doc_id", "source", "block", "slot", "kept")
 
 

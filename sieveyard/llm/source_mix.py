@@ -40,14 +40,16 @@ def schedule(shares: DataFrame, period: int) -> DataFrame:
     return laid.select(source["key"].alias("key"), source["k"].alias("k"), F.col("x.j").alias("j"), F.col("x.at").alias("at"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 16, period: int = 2048, stop_share: float = 0.8, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 16, period: int = 2048, stop_share: float = 0.8, whole_blocks: bool = True, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` with ``block``, ``slot`` and ``kept``.
 
     Rows of a source are in order of md5 of their id and cut into blocks of ``block_rows``; ``block`` counts them and ``slot`` is the
     block's place in the mix.  ``weights`` (by default the square roots of the sources' row counts) are rounded to whole slots of a period,
     at least one for each source that has a weight.  The mix ends where sources that hold ``stop_share`` of the weight have run
-    out: ``kept`` says which rows come before.  A source that runs out earlier gives all its rows and leaves its slots empty; the
-    others stay within one block of their weights to the end.
+    out, after the slot of the last block of each: ``kept`` says which rows come before.  A source that runs out earlier gives all its
+    rows and leaves its slots empty; the others stay within one block of their weights to the end.  Sources of equal rows and weights
+    run out together.  Without ``whole_blocks`` a source's end is counted in fractions of a block, as ``ORACLE`` does, and its last block may fall
+    behind the end of the mix.
 
     A null source is a source of its own.  Sources that ``weights`` does not name get no slot (null) and are not kept.  A null
     id sorts first; rows with equal ids are told apart by no order but each has its place.  Other columns pass; columns named as the new ones are
@@ -73,13 +75,18 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     parts = weighed.withColumn("total", F.sum("w").over(everywhere)).withColumn("whole", F.expr("w * (%d - count(*) over ()) div total" % period)).withColumn("rest", F.expr("w * (%d - count(*) over ()) %% total" % period))
     spare = free - F.sum("whole").over(everywhere)
     ranked = parts.withColumn("spare", spare).withColumn("r", F.row_number().over(Window.partitionBy().orderBy(F.col("rest").desc(), "__key")))
-    shares = ranked.select("__key", "n", "digits", (1 + F.col("whole") + F.when(F.col("r") <= F.col("spare"), 1).otherwise(0)).cast("long").alias("k"))
-    out_at = shares.withColumn("out", F.col("n") * period / F.col("k"))
-    passed = out_at.withColumn("sum", F.sum("k").over(Window.partitionBy().orderBy("out", "__key")))
-    ends = passed.where(F.col("sum") >= stop_share * period).agg(F.min("out").alias("out"))
-    horizon = ends.select(F.ceil(F.col("out") / block_rows).alias("slots"))
-
+    shares = ranked.select("__key", "n", "w", "digits", (1 + F.col("whole") + F.when(F.col("r") <= F.col("spare"), 1).otherwise(0)).cast("long").alias("k"))
     slots = schedule(shares.select(F.col("__key").alias("key"), "k"), period)
+    if whole_blocks:
+        # by the weights before rounding, in which equal sources tie; a window by value takes ties together
+        passed = shares.withColumn("out", F.col("n") / F.col("w")).withColumn("sum", F.sum("w").over(Window.partitionBy().orderBy("out"))).withColumn("all", F.sum("w").over(everywhere))
+        ended = passed.withColumn("end", F.min(F.when(F.col("sum") >= stop_share * F.col("all"), F.col("out"))).over(everywhere)).where(F.col("out") <= F.col("end"))
+        last = ended.withColumn("last", F.floor((F.col("n") - 1) / block_rows)).select(F.col("__key").alias("key"), "last", F.expr("cast(last % k as int)").alias("j"))
+        horizon = slots.join(F.broadcast(last), ["key", "j"]).agg((F.max(F.expr("last div k") * period + F.col("at")) + 1).alias("slots"))
+    else:
+        passed = shares.withColumn("out", F.col("n") * period / F.col("k")).withColumn("sum", F.sum("k").over(Window.partitionBy().orderBy("out", "__key")))
+        horizon = passed.where(F.col("sum") >= stop_share * period).agg(F.ceil(F.min("out") / block_rows).alias("slots"))
+
     digits_of = F.broadcast(counts.select(digits.alias("__digits")).limit(1))
     bucketed = rows.crossJoin(digits_of).withColumn("__bucket", F.expr("substring(__md5, 1, __digits)")).drop("__digits")
     sums = bucketed.groupBy("__key", "__bucket").agg(F.count("*").alias("m"))

@@ -278,3 +278,15 @@ def test_mix_stays_within_a_block(spark, none):
     assert source_mix.mix_sources(none).count() == 0
     null_ids = spark.createDataFrame([(None, None), (None, None), (1, "a")], "doc_id long, source string")
     assert source_mix.mix_sources(null_ids).count() == 3
+
+
+def test_mix_keeps_every_row_of_sources_that_have_run_out(spark):
+    import corpus_pipeline as cp
+
+    for n_sources, each in ((20, 10), (17, 10), (20, 500)):
+        docs = spark.createDataFrame([(i, f"s{i % n_sources}") for i in range(n_sources * each)], "doc_id long, source string")
+        assert cp.mix(spark, docs, "").count() == n_sources * each
+    sizes = {"a": 9, "b": 17, "c": 33, "d": 40, "e": 4000}
+    docs = spark.createDataFrame([(s * 10000 + i, k) for s, (k, n) in enumerate(sizes.items()) for i in range(n)], "doc_id long, source string")
+    got = Counter(r["source"] for r in source_mix.take_mix(docs, weights=dict.fromkeys(sizes, 0.2)).collect())
+    assert all(got[s] == sizes[s] for s in "abcd") and 32 <= got["e"] <= 64  # less than one block off the three of d
