@@ -174,29 +174,55 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def content(root: Node) -> list[Node]:
-    """The subtrees to keep, in page order."""
+def ancestors(x: Node):
+    while x.parent is not None:
+        x = x.parent
+        yield x
+
+
+def content(root: Node) -> list[Node | str]:
+    """The subtrees to keep, in page order: the body, other articles that are not mostly links, and what is as dense around them."""
     order = measure(root)
     sums = {id(x): sum(c.density for c in x.children if not isinstance(c, str)) for x in order}
     best = max(order, key=lambda x: sums[id(x)])
     if not sums[id(best)]:
         best = max(order, key=lambda x: x.density)
-    x, threshold = best, best.density
+    path, x = [], best
     while x is not None and x.tag != "html":
-        if x.tag in REGIONS:
-            return [x]
-        threshold = min(threshold, x.density)
+        path.append(x)
         x = x.parent
-    around = best
-    while around.parent is not None and around.tag in ("p", "li", "ul", "ol", "td", "tr", "tbody", "table", "blockquote"):
-        around = around.parent
-    if around.parent is None or around.tag == "body":
-        return [around]
-    kept = [c for c in around.parent.children if not isinstance(c, str) and (c is around or c.tag in REGIONS or (c.density >= threshold and c.chars > 3 * c.link_chars) or re.fullmatch("h[1-6]", c.tag))]
+    threshold = min((x.density for x in path), default=best.density)
+    # the body: the outermost article on the path, else the nearest main, else the node itself
+    body = next((x for x in reversed(path) if x.tag == "article"), None) or next((x for x in path if x.tag == "main"), None)
+    if body is None:
+        body = best
+        while body.parent is not None and body.tag in ("p", "li", "ul", "ol", "td", "tr", "tbody", "table", "blockquote"):
+            body = body.parent
+        if body.parent is None or body.tag == "body":
+            plain = sum(x.chars - x.link_chars for x in order if x.tag in REGIONS and not any(y.tag in REGIONS for y in ancestors(x)))
+            if 2 * plain <= body.chars - body.link_chars:
+                return [body]
+    kept: list[Node | str] = []
+    above = {id(x) for x in path}
+    above.add(id(root))
+    in_articles = body.parent is None or body.tag == "body"  # most of the page is in articles, of which none is the body
+    stack: list[Node | str] = [root]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            continue
+        if (x is body and not in_articles) or (x.tag in REGIONS and id(x) not in above and x.chars > 2 * x.link_chars):
+            kept.append(x)
+        elif id(x) in above:
+            stack.extend(reversed(x.children))
+        elif x.chars > 3 * x.link_chars and (x.density >= threshold or re.fullmatch("h[1-6]", x.tag) and x.parent is body.parent):
+            kept.append(x)
+        elif any(not isinstance(c, str) for c in x.children):
+            stack.extend(reversed(x.children))
     return kept
 
 
-def text_of(nodes: list[Node]) -> str:
+def text_of(nodes: list[Node | str]) -> str:
     blocks: list[str] = []
     open_block: list[str] = []
 

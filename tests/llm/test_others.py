@@ -96,6 +96,13 @@ def test_main_text(name):
     assert main_text.main_text(html) == want
 
 
+def test_main_text_of_several_articles():
+    one, two, side = ("One long sentence. " * 20).strip(), "Two is short.", ("Dense text beside the articles. " * 10).strip()
+    card = "<article><a href=x>Another story to read</a></article>"
+    html = f"<body><div><article><p>{one}</p><p>{one}</p></article></div><div><article><p>{two}</p></article></div>{card}<div><p>{side}</p></div><div>Short line</div></body>"
+    assert main_text.main_text(html).split("\n\n") == [one, one, two, side]
+
+
 def test_main_text_of_odd_pages(spark):
     odd = [None, "", " ", "<", "<<>>", "</p></div>", "<p", "text only", "<a href='x'>l</a>" * 2000, "<div>" * 3000 + "deep", "&#x110000; &bogus;", "<script>never closed"]
     rows = spark.createDataFrame([(i, None, h, "t") for i, h in enumerate(odd)] + [(None, "u", "<p>x</p>", "t")], "page_id long, url string, html string, text string")
