@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+HIDING = re.compile(r"hidden|display", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
 BOILERPLATE = frozenset("head nav footer aside form button select option dialog menu svg canvas object audio video map datalist fieldset label".split())
@@ -30,42 +30,59 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-#: Words in class, id or role that name what is no article text.
+#: Words in class, id or role that name what is no article text, where density or links say so too.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay"
     " nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar side rail widget footer masthead comment comments disqus respond reply replies"
     " related recommended share sharing social newsletter subscribe subscription signup login search toolbar skip copyright complementary contentinfo header".split()
 )
+#: Words beside them that say nothing of a topic: "ad-slot" is evidence at any length, "share-prices" only with many links.
+SHAPES = frozenset("area bar block bottom box button buttons container content form global icons inner item items left link links list main outer page post posts right section site slot text top unit wrap wrapper".split())
 REGIONS = frozenset(["article", "main"])
+#: Plain characters from which a block with a noise name may count as dense.
+DENSE = 80
+HEADING = re.compile("h[1-6]")
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "parent", "skip", "tag", "tags")
+    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "parent", "skip", "suspect", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool):
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: Node | None, skip: bool, suspect: int = 0):
+        self.tag, self.parent, self.skip, self.suspect = tag, parent, skip, suspect
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
 
-def noisy(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is boilerplate by its tag or names.  A header inside an article holds its title."""
-    if tag in BOILERPLATE or tag in RAW or (tag == "header" and not inside):
-        return True
-    if not attributes:
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    if tag in ("body", "html", "article", "main"):
+def hidden(attributes: str) -> bool:
+    if not HIDING.search(attributes):
         return False
-    for m in NAMES.finditer(attributes):
-        for name in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", m[1] or m[2] or m[3] or "").lower()):
-            if name in NOISE and not (name == "header" and inside):
-                return True
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return True
     return False
 
 
+def noisy(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is boilerplate by its tag or hidden.  A header inside an article holds its title."""
+    return tag in BOILERPLATE or tag in RAW or (tag == "header" and not inside) or bool(attributes) and hidden(attributes)
+
+
+def suspicion(tag: str, attributes: str, inside: bool) -> int:
+    """2 where a class, id or role names boilerplate and no topic, 1 where it does beside other words, else 0.  Never on headings."""
+    if not attributes or tag in ("body", "html", "article", "main") or HEADING.fullmatch(tag):
+        return 0
+    worst = 0
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id", "role"):
+            for name in (m[2] or m[3] or m[4] or "").split():
+                words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+                if any(w in NOISE and not (w == "header" and inside) for w in words):
+                    worst = max(worst, 2 if all(w in NOISE or w in SHAPES for w in words) else 1)
+    return worst
+
+
 def tree(html: str) -> Node:
     """The page's elements without boilerplate.  Unclosed and misplaced tags are put right as browsers do in the main."""
     root = at = Node("html", None, False)
@@ -130,7 +147,7 @@ def tree(html: str) -> Node:
         if tag in CLOSES:
             while x := within(*CLOSES[tag]):
                 close(x)
-        node = Node(tag, at, noisy(tag, m[3], inside > 0))
+        node = Node(tag, at, noisy(tag, m[3], inside > 0), suspicion(tag, m[3], inside > 0))
         if not skipping and not node.skip:
             at.children.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
@@ -148,6 +165,8 @@ def measure(root: Node) -> list[Node]:
     """All nodes, parents first, with characters, tags and link shares of their subtrees."""
     order, links = [root], [root.tag == "a"]
     for x, linked in zip(order, links):  # both grow meanwhile
+        x.chars = x.tags = x.link_chars = x.link_tags = 0
+        x.density = 0.0
         for c in x.children:
             if isinstance(c, str):
                 n = len(c) - c.count(" ") if c.isspace() else len(c)
@@ -157,7 +176,7 @@ def measure(root: Node) -> list[Node]:
                 order.append(c)
                 links.append(linked or c.tag == "a")
     for x in reversed(order):
-        if x.parent is not None:
+        if x.parent is not None and x is not root:
             p = x.parent
             p.chars += x.chars
             p.link_chars += x.link_chars
@@ -174,6 +193,24 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def drop_suspects(order: list[Node]) -> bool:
+    """Takes elements with noise names out where links or thin text bear the name out.  Thin is less than ``DENSE`` or half the page's text for each tag."""
+    root = order[0]
+    plain = max(1, root.chars - root.link_chars)
+    gone = set()
+    for x in order:
+        if x.suspect:
+            own = x.chars - x.link_chars
+            linked = 2 * x.link_chars > x.chars
+            thin = own < DENSE or 2 * own <= plain and 2 * own * (root.tags + 1) < plain * (x.tags + 1)
+            if linked or thin and x.suspect == 2 and own < plain:
+                gone.add(id(x))
+    for x in order:
+        if any(id(c) in gone for c in x.children):
+            x.children = [c for c in x.children if id(c) not in gone]
+    return bool(gone)
+
+
 def ancestors(x: Node):
     while x.parent is not None:
         x = x.parent
@@ -183,6 +220,8 @@ def ancestors(x: Node):
 def content(root: Node) -> list[Node | str]:
     """The subtrees to keep, in page order: the body, other articles that are not mostly links, and what is as dense around them."""
     order = measure(root)
+    if any(x.suspect for x in order) and drop_suspects(order):
+        order = measure(root)
     sums = {id(x): sum(c.density for c in x.children if not isinstance(c, str)) for x in order}
     best = max(order, key=lambda x: sums[id(x)])
     if not sums[id(best)]:
@@ -215,7 +254,9 @@ def content(root: Node) -> list[Node | str]:
             kept.append(x)
         elif id(x) in above:
             stack.extend(reversed(x.children))
-        elif x.chars > 3 * x.link_chars and (x.density >= threshold or re.fullmatch("h[1-6]", x.tag) and x.parent is body.parent):
+        elif x.suspect == 2:  # dense, but outside the body
+            continue
+        elif x.chars > 3 * x.link_chars and (x.density >= threshold or HEADING.fullmatch(x.tag) and x.parent is body.parent):
             kept.append(x)
         elif any(not isinstance(c, str) for c in x.children):
             stack.extend(reversed(x.children))

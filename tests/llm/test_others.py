@@ -103,6 +103,17 @@ def test_main_text_of_several_articles():
     assert main_text.main_text(html).split("\n\n") == [one, one, two, side]
 
 
+def test_names_delete_no_article_text():
+    body = ("Words of the article itself. " * 12).strip()
+    blocks = {
+        '<h2 id="related-work">': "Related work", '<h2 id="search-algorithms">': "Search algorithms", '<section id="side-effects">': "May cause sleep.", '<div class="share-prices">': "Shares rose by two.",
+        '<p class="notice-period">': "Three months.", '<p title="a hidden valley">': "By the river.", '<p data-note="display: none">': "Shown.", '<div class="notice">': body,
+    }
+    html = "".join(f"{tag}{text}</{tag[1:].split()[0]}>" for tag, text in blocks.items())
+    noise = "<div class='ad-slot'>Buy</div><div class='related-stories'><a href=x>One more</a> <a href=y>And more</a></div><p hidden>No</p><p style='color:red; display:none'>No</p><p aria-hidden=true>No</p>"
+    assert main_text.main_text(f"<article><p>{body}</p>{html}{noise}<p>{body}</p></article>").split("\n\n") == [body, *blocks.values(), body]
+
+
 def test_main_text_of_odd_pages(spark):
     odd = [None, "", " ", "<", "<<>>", "</p></div>", "<p", "text only", "<a href='x'>l</a>" * 2000, "<div>" * 3000 + "deep", "&#x110000; &bogus;", "<script>never closed"]
     rows = spark.createDataFrame([(i, None, h, "t") for i, h in enumerate(odd)] + [(None, "u", "<p>x</p>", "t")], "page_id long, url string, html string, text string")
