@@ -217,7 +217,7 @@ def ancestors(x: Node):
         yield x
 
 
-def content(root: Node) -> list[Node | str]:
+def content(root: Node) -> list[Node]:
     """The subtrees to keep, in page order: the body, other articles that are not mostly links, and what is as dense around them."""
     order = measure(root)
     if any(x.suspect for x in order) and drop_suspects(order):
@@ -241,29 +241,65 @@ def content(root: Node) -> list[Node | str]:
             plain = sum(x.chars - x.link_chars for x in order if x.tag in REGIONS and not any(y.tag in REGIONS for y in ancestors(x)))
             if 2 * plain <= body.chars - body.link_chars:
                 return [body]
-    kept: list[Node | str] = []
+    kept: list[Node] = []
     above = {id(x) for x in path}
     above.add(id(root))
     in_articles = body.parent is None or body.tag == "body"  # most of the page is in articles, of which none is the body
-    stack: list[Node | str] = [root]
+    loose = not in_articles and body.tag not in REGIONS  # no tag names the body: what lies around it counts more
+    limit = threshold
+    if loose and (dense := sorted(c.density for c in best.children if not isinstance(c, str) and c.density)):
+        limit = min(threshold, dense[len(dense) // 2] / 2)  # a single block's density is below that of many by its logarithm
+    stack: list[Node] = [root]
     while stack:
         x = stack.pop()
-        if isinstance(x, str):
-            continue
         if (x is body and not in_articles) or (x.tag in REGIONS and id(x) not in above and x.chars > 2 * x.link_chars):
             kept.append(x)
         elif id(x) in above:
-            stack.extend(reversed(x.children))
+            stack.extend(reversed(flow(x, above) if loose else [c for c in x.children if not isinstance(c, str)]))
+        elif x.tag == "":
+            kept.append(x)
         elif x.suspect == 2:  # dense, but outside the body
             continue
-        elif x.chars > 3 * x.link_chars and (x.density >= threshold or HEADING.fullmatch(x.tag) and x.parent is body.parent):
+        elif x.chars > 3 * x.link_chars and (x.density >= limit or HEADING.fullmatch(x.tag) and (x.parent is body.parent or loose and (x.tag == "h1" or id(x.parent) in above))):
             kept.append(x)
-        elif any(not isinstance(c, str) for c in x.children):
-            stack.extend(reversed(x.children))
+        else:
+            stack.extend(reversed([c for c in x.children if not isinstance(c, str)]))
     return kept
 
 
-def text_of(nodes: list[Node | str]) -> str:
+def flow(x: Node, above: set[int]) -> list[Node]:
+    """The children of ``x``, with each stretch of text and inline elements that is not mostly links as one node without a tag."""
+    out: list[Node] = []
+    run: list[Node | str] = []
+
+    def end() -> None:
+        linked = sum(c.link_chars for c in run if not isinstance(c, str))
+        if run and sum(len(c.strip()) if isinstance(c, str) else c.chars for c in run) > 2 * linked:
+            node = Node("", x, False)
+            node.children = [*run]
+            out.append(node)
+        run.clear()
+
+    for c in x.children:
+        if isinstance(c, str) or c.tag not in BLOCK and id(c) not in above and not c.suspect and not any(y.tag in BLOCK for y in descendants(c)):
+            run.append(c)
+        else:
+            end()
+            out.append(c)
+    end()
+    return out
+
+
+def descendants(x: Node):
+    stack = [x]
+    while stack:
+        for c in stack.pop().children:
+            if not isinstance(c, str):
+                yield c
+                stack.append(c)
+
+
+def text_of(nodes: list[Node]) -> str:
     blocks: list[str] = []
     open_block: list[str] = []
 
@@ -282,7 +318,7 @@ def text_of(nodes: list[Node | str]) -> str:
             open_block.append(unescape(x) if "&" in x else x)
         elif x.tag == "br":
             open_block.append(" ")
-        elif x.tag in BLOCK:
+        elif x.tag in BLOCK or x.tag == "":
             end()
             stack.append(None)
             stack.extend(reversed(x.children))

@@ -103,6 +103,14 @@ def test_main_text_of_several_articles():
     assert main_text.main_text(html).split("\n\n") == [one, one, two, side]
 
 
+def test_main_text_without_articles_keeps_other_levels():
+    long, short = ("A sentence of the first part. " * 8).strip(), ("And one of the second. " * 4).strip()
+    first, second = (f"<section><div>{f'<p>{t}</p>' * 5}</div></section>" for t in (long, short))
+    links = "<div><a href=a>One page</a> | <a href=b>Another page</a></div>"
+    html = f"<body><div><h1>Title</h1></div>{links}<div>{first}Bare text <i>between</i> the parts.{second}</div></body>"
+    assert main_text.main_text(html).split("\n\n") == ["Title", *[long] * 5, "Bare text between the parts.", *[short] * 5]
+
+
 def test_names_delete_no_article_text():
     body = ("Words of the article itself. " * 12).strip()
     blocks = {
