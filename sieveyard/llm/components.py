@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveyard.llm.staging import stage
+from sieveyard.llm.staging import drop, stage
+
+
+def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node number of each node's component, for nodes 0 .. n-1 and edges a, b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def _round(e: DataFrame) -> DataFrame:
@@ -19,29 +36,26 @@ def _round(e: DataFrame) -> DataFrame:
 
 def _settled(e: DataFrame) -> bool:
     """Each node has one smaller neighbour, and that has none."""
-    twice = e.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return not twice and not e.select(F.col("b").alias("a")).distinct().join(e, "a", "left_semi").limit(1).count()
+    nodes = e.select("a", F.lit(1).alias("n"), F.lit(0).alias("below")).unionByName(e.select(F.col("b").alias("a"), F.lit(0).alias("n"), F.lit(1).alias("below")))
+    open_ = nodes.groupBy("a").agg(F.sum("n").alias("n"), F.max("below").alias("below")).where("n > 1 or n = 1 and below = 1")
+    return not open_.limit(1).count()
 
 
 def _edges(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def labels(edges: DataFrame) -> DataFrame:
-    """``(node, component)`` after one round: nodes with one label are connected, connected ones may still have several."""
-    return _round(_edges(edges)).groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``edges(a, b)``, any direction, repeats allowed -> ``(node, component)`` for each node that is not its
     component's smallest; a node that is missing from the result is its own component.
 
     Each round joins edges to each node's smallest neighbour, hot nodes included (those joins can be split), and
-    stages the result; the number of rounds grows with the logarithm of the number of nodes.
+    stages the result in place of the one before; the number of rounds grows with the logarithm of the number of nodes.
     """
     e = stage(_edges(edges), "edges")
     for _ in range(rounds):
         if _settled(e):
             return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        e = stage(_round(e), "stars")
+        last, e = e, stage(_round(e), "stars")
+        drop(last)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

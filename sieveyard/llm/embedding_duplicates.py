@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveyard.llm.components import components
+from sieveyard.llm.components import components, local_labels
 from sieveyard.llm.staging import stage
 from sieveyard.llm.vectors import finite, matrix
 
@@ -38,20 +38,6 @@ def spherical_kmeans(rows: np.ndarray, cells: int, rounds: int = 12, seed: int =
     return centres
 
 
-def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest node number of each node's component, for nodes 0 .. n-1 and edges a, b."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, probes: int = 4, per_cell: int = 2048, most_cells: int = 4096, sample: int = 16384, tile: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``id, n_links, component_id, kept``: one row for each vector.
 
@@ -120,7 +106,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, probes: int
             earlier = own[r, k] < cell
             counted &= ~(earlier & (own[c] == own[r, k][:, None]).any(axis=1))
         links = np.bincount(r[counted], copies[c[counted]], len(rep)) + np.bincount(c[counted], copies[r[counted]], len(rep))
-        label = _labels(len(rep), r, c)
+        label = local_labels(len(rep), r, c)
         on = np.flatnonzero((links > 0) | (label != np.arange(len(rep))))
         return pa.table({"rep": pa.array(rep[on], pa.int64()), "links": pa.array(links[on].astype(np.int64)), "to": pa.array(rep[label[on]], pa.int64())})
 

@@ -155,11 +155,36 @@ def test_near_duplicates_in_a_dense_group(spark):
             w[at] = f"new{rng.integers(0, 400)}"
         rows.append((i, " ".join(w)))
     want = jaccard_components(rows, 4)
-    for dense in (4, 0):
-        got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4, dense=dense).collect()
+    assert len({c for _, c in want.values()}) > 3
+    for options in ({}, {"tile_docs": 16}, {"tile_shingles": 2000}):
+        got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4, **options).collect()
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_near_duplicates_in_a_group_of_thousands(spark):
+    """5,000 near copies in chains: each block of 50 is linked with its neighbours only, the first and the last with nothing in common."""
+    rng = np.random.default_rng(8)
+    text, rows = prose(30, 140).split(), []
+    for i in range(5000):
+        if i % 50 == 0:
+            for at in rng.choice(140, 2, replace=False):
+                text[at] = f"step{i}"
+        w = list(text)
+        w[int(rng.integers(0, 140))] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=4).collect()
+    assert len(got) == 5000 and {r["component_id"] for r in got} == {0}
+
+
+def test_overlaps_equal_set_intersections():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, top, n).astype(np.uint64)) for top, n in [(40, 30)] * 20 + [(4000, 200)] * 10 + [(1, 0)] * 2]
+    a, b = np.arange(0, 32, 3), np.arange(32)
+    for wide in (1, 4, 24):
+        got = near_duplicates.overlaps(sets, a, b, wide=wide, step=16)
+        assert all(got[i, j] == (0 if x == y else len(np.intersect1d(sets[x], sets[y]))) for i, x in enumerate(a) for j, y in enumerate(b))
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**63, 900, dtype=np.uint64), rng.integers(0, 2**63, 900, dtype=np.uint64)

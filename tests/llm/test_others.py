@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from sieveyard.llm import embedding_duplicates, exact_topk, main_text
-from sieveyard.llm.embedding_duplicates import _labels
+from sieveyard.llm.components import local_labels
 
 NAN, INF = float("nan"), float("inf")
 
@@ -37,7 +37,7 @@ def test_embedding_duplicates_equal_brute_force(table, none):
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
     link = x @ x.T >= 0.9
     np.fill_diagonal(link, False)
-    label = ids[_labels(len(ids), *np.nonzero(link))]
+    label = ids[local_labels(len(ids), *np.nonzero(link))]
     want = {int(i): (int(n), int(c)) for i, n, c in zip(ids, link.sum(axis=1), label)}
     for options in ({}, {"per_cell": 40, "tile": 16, "probes": 3}):
         got = embedding_duplicates.embedding_duplicates(table, **options).collect()
