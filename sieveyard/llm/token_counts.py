@@ -35,6 +35,8 @@ def byte_letters() -> dict[str, int]:
     return out
 
 
+#: Longer pieces are not kept in a cache.
+LONGEST_KEPT = 64
 #: A space beside other white space.  Without any, each space starts a piece, so that stretches between spaces are counted one by one.
 BESIDE = re.compile(r" \s|\s ")
 
@@ -50,7 +52,9 @@ class Spaced(dict):
         if len(self) > self.counter.most:
             self.clear()
         text = " " + stretch
-        n = self[stretch] = sum(map(self.counter.__getitem__, self.counter.pattern(text).findall(text)))
+        n = sum(map(self.counter.__getitem__, self.counter.pattern(text).findall(text)))
+        if len(stretch) <= LONGEST_KEPT:
+            self[stretch] = n
         return n
 
 
@@ -82,6 +86,7 @@ class PrefixCounter(dict):
         self.pieces = regex.compile(PIECES)
         self.quick = re.compile(QUICK)
         self.outside = re.compile(OUTSIDE)
+        self.white = regex.compile(r"\s+")
         self.spaced: dict[str, int] = Spaced(self)
         self.stable: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
@@ -146,7 +151,9 @@ class PrefixCounter(dict):
     def __missing__(self, piece: str) -> int:
         if len(self) > self.most:
             self.clear()
-        n = self[piece] = self.prefixes(piece)[-1]
+        n = self.prefixes(piece)[-1]
+        if len(piece) <= LONGEST_KEPT:
+            self[piece] = n
         return n
 
     def segments(self, text: str) -> Iterator[tuple[int, int, bool]]:
@@ -173,7 +180,11 @@ class PrefixCounter(dict):
 
 
 class PrefixCounts:
-    """Exact token counts of every prefix of one text."""
+    """Exact token counts of every prefix of one text.
+
+    A piece cut short is one piece still, so its own prefix counts answer for it.  So is a run of white space, of which the full text may
+    give the last character to the next piece.  Only cut contractions (under four characters) and cut special strings are counted anew.
+    """
 
     def __init__(self, counter: PrefixCounter, text: str, upto: int | None = None):
         """With ``upto`` only as far as the first piece that goes beyond so many tokens."""
@@ -198,28 +209,81 @@ class PrefixCounts:
             if upto is not None and total > upto:
                 break
         self.ends, self.sums = ends, list(accumulate(counts))
+        self._of: tuple[int, int] | None = None
+        self._counts: list[int] = []
 
     def total(self) -> int:
         return self.sums[-1]
 
+    def _prefixes(self, start: int, stop: int) -> list[int]:
+        """Token counts of ``text[start:start]`` to ``text[start:stop]``, each as one piece."""
+        if self._of != (start, stop):
+            piece = self.text[start:stop]
+            counts = self.counter.prefixes(piece)
+            if not piece.isascii():
+                counts = [counts[i] for i in accumulate((len(c.encode()) for c in piece), initial=0)]
+            self._of, self._counts = (start, stop), counts
+        return self._counts
+
+    def _run(self, k: int) -> tuple[int, int, int]:
+        """Of the white space at the start of piece ``k``: the piece its run starts with, and where that starts and ends."""
+        white = self.counter.white
+        while k and white.fullmatch(self.text, self.ends[k - 1], self.ends[k]):
+            k -= 1
+        return k, self.ends[k], white.match(self.text, self.ends[k]).end()
+
+    def _special(self, chars: int) -> int | None:
+        """The start of the special string that ends or is cut at ``chars``."""
+        i = bisect_left(self.specials, (chars, 0)) - 1
+        return self.specials[i][0] if i >= 0 and chars <= self.specials[i][1] else None
+
     def at(self, chars: int) -> int:
-        """Tokens of the text's first ``chars`` code points.
+        """Tokens of the text's first ``chars`` code points, which reach no further than the pieces counted.
 
-        Pieces that end before the cut stay as they are; what the cut leaves of the next is cut anew.
-        A cut inside a special string makes ordinary text of its start, to which the stretch before it runs on.
+        A cut inside a special string makes ordinary text of its start, to which the piece before it runs on.
         """
-        i = bisect_left(self.specials, (chars, 0)) - 1
-        inside = i >= 0 and chars < self.specials[i][1]
-        k = max(0, bisect_left(self.ends, self.specials[i][0] if inside else chars) - 1)
-        return self.sums[k] + self.counter.count(self.text[self.ends[k] : chars])
+        if chars <= 0:
+            return 0
+        k = bisect_left(self.ends, chars) - 1
+        start, stop = self.ends[k], self.ends[k + 1]
+        special = self._special(chars)
+        if special is not None:
+            if chars == stop:
+                return self.sums[k + 1]
+            k = max(0, bisect_left(self.ends, special) - 1)
+            return self.sums[k] + self.counter.count(self.text[self.ends[k] : chars])
+        if self.counter.white.match(self.text, chars - 1):
+            k, start, stop = self._run(k)
+            return self.sums[k] + self._prefixes(start, stop)[chars - start]
+        if chars == stop:
+            return self.sums[k + 1]
+        if self.text[start] == "'" and self.text[start + 1].isalpha():
+            return self.sums[k] + self.counter.count(self.text[start:chars])
+        return self.sums[k] + self._prefixes(start, stop)[chars - start]
 
     def reach(self, budget: int) -> int:
-        """The most code points whose tokens stay within ``budget``."""
+        """The most code points whose tokens stay within ``budget``.
+
+        That is the end of the last piece within it, or a cut in the piece after it, in white space that runs on from there or in a special string behind it.
+        """
         k = bisect_right(self.sums, budget) - 1
         if k == len(self.sums) - 1:
             return len(self.text)
-        after = self.ends[k]
-        return max((p for p in range(after + 1, self.ends[k + 1] + 1) if self.at(p) <= budget), default=after)
+        start, stop = self.ends[k], self.ends[k + 1]
+        best = start
+        if self._special(stop) is not None or self.text[start] == "'":
+            best = max((p for p in range(start + 1, stop) if self.at(p) <= budget), default=best)
+        else:
+            cuts = self._prefixes(start, stop)
+            best = start + max(i for i, n in enumerate(cuts) if self.sums[k] + n <= budget)
+        if self.counter.white.match(self.text, start):
+            at, first, last = self._run(k)
+            cuts = self._prefixes(first, last)
+            best = max(best, first + max(i for i, n in enumerate(cuts) if self.sums[at] + n <= budget))
+        if self.counter.special and (m := self.counter.split.match(self.text, stop)):
+            before = self.text[start:stop]
+            best = max((p for p in range(stop + 1, m.end()) if self.sums[k] + self.counter.count(before + self.text[stop:p]) <= budget), default=best)
+        return best
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -65,12 +66,26 @@ def test_token_counts_match_the_library(docs, none):
 
 def test_every_prefix_is_counted():
     tk, counter = Tokenizer.from_file(BYTE_BPE), token_counts.PrefixCounter(BYTE_BPE)
-    for text in ("a  b\n\n c's <|endoftext|>  we'll ²½ 你好", "  <|endoftext|><|endoftext|> x", "hello   world\t\n 12 345"):
+    rng = np.random.default_rng(12)
+    parts = ["a", "word", " ", "  ", "\n", "\n\n\n", "'re", "'", "'s", "??", "<|", "<|endoftext|>", "é", "你", "12", "\t", "…", "'x", "\u00a0", "\x1d", "_"]
+    mixed = ["".join(parts[i] for i in rng.integers(0, len(parts), 14)) for _ in range(60)]
+    for text in ("a  b\n\n c's <|endoftext|>  we'll ²½ 你好", "  <|endoftext|><|endoftext|> x", "hello   world\t\n 12 345", "?!?!<|endoftext|>", *mixed):
         counts = token_counts.PrefixCounts(counter, text)
-        for p in range(len(text) + 1):
-            assert counts.at(p) == len(tk.encode(text[:p], add_special_tokens=False).ids), text[:p]
+        want = [len(tk.encode(text[:p], add_special_tokens=False).ids) for p in range(len(text) + 1)]
+        assert [counts.at(p) for p in range(len(text) + 1)] == want, text
         for budget in range(counts.total() + 2):
-            assert counts.reach(budget) == max(p for p in range(len(text) + 1) if counts.at(p) <= budget)
+            reach = max(p for p in range(len(text) + 1) if want[p] <= budget)
+            assert counts.reach(budget) == token_counts.PrefixCounts(counter, text, budget).reach(budget) == reach, (text, budget)
+
+
+def test_one_word_of_a_million_letters():
+    counter = token_counts.PrefixCounter(BYTE_BPE)
+    text = "".join(map(chr, np.random.default_rng(3).integers(97, 123, 1_000_000)))
+    began = time.perf_counter()
+    counts = token_counts.PrefixCounts(counter, text)
+    reach = counts.reach(512)
+    assert time.perf_counter() - began < 30 and counter.count(text[:reach]) == 512 and counts.at(reach + 1) > 512
+    assert counts.total() == len(Tokenizer.from_file(BYTE_BPE).encode(text, add_special_tokens=False).ids)
 
 
 def test_pack_places_every_piece_without_gaps(docs, none):
