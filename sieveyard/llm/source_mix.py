@@ -40,20 +40,19 @@ def schedule(shares: DataFrame, period: int) -> DataFrame:
     return laid.select(source["key"].alias("key"), source["k"].alias("k"), F.col("x.j").alias("j"), F.col("x.at").alias("at"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 16, period: int = 2048, stop_share: float = 0.8, whole_blocks: bool = True, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 16, period: int = 2048, minor: float = 0.1, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` with ``block``, ``slot`` and ``kept``.
 
     Rows of a source are in order of md5 of their id and cut into blocks of ``block_rows``; ``block`` counts them and ``slot`` is the
     block's place in the mix.  ``weights`` (by default the square roots of the sources' row counts) are rounded to whole slots of a period,
-    at least one for each source that has a weight.  The mix ends where sources that hold ``stop_share`` of the weight have run
-    out, after the slot of the last block of each: ``kept`` says which rows come before.  A source that runs out earlier gives all its
-    rows and leaves its slots empty; the others stay within one block of their weights to the end.  Sources of equal rows and weights
-    run out together.  Without ``whole_blocks`` a source's end is counted in fractions of a block, as ``ORACLE`` does, and its last block may fall
-    behind the end of the mix.
+    at least one for each source that has a weight.  The mix ends at the first slot for which a source has no block left:
+    ``kept`` says which rows come before.  So to its end each source is less than one block off its rounded weight, and sources of equal rows and weights
+    give all their rows.  Only a source whose weight is under ``minor`` of an even share does not end the mix: it gives all it has and then leaves its slots empty,
+    so that one stray row with a source of its own does not end it.
 
     A null source is a source of its own.  Sources that ``weights`` does not name get no slot (null) and are not kept.  A null
     id sorts first; rows with equal ids are told apart by no order but each has its place.  Other columns pass; columns named as the new ones are
-    replaced.  At most half as many sources as a period has slots.
+    replaced.  More sources than half of a period's slots raise an error; a longer period takes more.
 
     Native throughout.  Ranks are taken in buckets of the md5, so that a source with a third of all rows is no single
     task; only sums by source and bucket are added up.
@@ -71,21 +70,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
         weight = F.coalesce(named[F.col("__key")], F.lit(0)).cast("long")
     everywhere = Window.partitionBy()
     weighed = counts.select("__key", "n", digits.alias("digits"), weight.alias("w")).where("w > 0")
-    free = F.lit(period) - F.count("*").over(everywhere)
+    sources = F.count("*").over(everywhere)
+    free = F.when(sources <= period // 2, F.lit(period) - sources).otherwise(F.raise_error(F.concat(F.lit("a period of %d slots is too short for this number of sources: " % period), sources.cast("string"))).cast("long"))
     parts = weighed.withColumn("total", F.sum("w").over(everywhere)).withColumn("whole", F.expr("w * (%d - count(*) over ()) div total" % period)).withColumn("rest", F.expr("w * (%d - count(*) over ()) %% total" % period))
     spare = free - F.sum("whole").over(everywhere)
     ranked = parts.withColumn("spare", spare).withColumn("r", F.row_number().over(Window.partitionBy().orderBy(F.col("rest").desc(), "__key")))
-    shares = ranked.select("__key", "n", "w", "digits", (1 + F.col("whole") + F.when(F.col("r") <= F.col("spare"), 1).otherwise(0)).cast("long").alias("k"))
+    shares = ranked.withColumn("even", F.avg("w").over(everywhere)).select("__key", "n", "w", "even", "digits", (1 + F.col("whole") + F.when(F.col("r") <= F.col("spare"), 1).otherwise(0)).cast("long").alias("k"))
     slots = schedule(shares.select(F.col("__key").alias("key"), "k"), period)
-    if whole_blocks:
-        # by the weights before rounding, in which equal sources tie; a window by value takes ties together
-        passed = shares.withColumn("out", F.col("n") / F.col("w")).withColumn("sum", F.sum("w").over(Window.partitionBy().orderBy("out"))).withColumn("all", F.sum("w").over(everywhere))
-        ended = passed.withColumn("end", F.min(F.when(F.col("sum") >= stop_share * F.col("all"), F.col("out"))).over(everywhere)).where(F.col("out") <= F.col("end"))
-        last = ended.withColumn("last", F.floor((F.col("n") - 1) / block_rows)).select(F.col("__key").alias("key"), "last", F.expr("cast(last % k as int)").alias("j"))
-        horizon = slots.join(F.broadcast(last), ["key", "j"]).agg((F.max(F.expr("last div k") * period + F.col("at")) + 1).alias("slots"))
-    else:
-        passed = shares.withColumn("out", F.col("n") * period / F.col("k")).withColumn("sum", F.sum("k").over(Window.partitionBy().orderBy("out", "__key")))
-        horizon = passed.where(F.col("sum") >= stop_share * period).agg(F.ceil(F.min("out") / block_rows).alias("slots"))
+    # the first block that a source lacks, of all sources but minor ones
+    lacking = shares.where(F.col("w") >= minor * F.col("even")).withColumn("next", F.ceil(F.col("n") / block_rows)).select(F.col("__key").alias("key"), "next", F.expr("cast(next % k as int)").alias("j"))
+    horizon = slots.join(F.broadcast(lacking), ["key", "j"]).agg(F.min(F.expr("next div k") * period + F.col("at")).alias("slots"))
 
     digits_of = F.broadcast(counts.select(digits.alias("__digits")).limit(1))
     bucketed = rows.crossJoin(digits_of).withColumn("__bucket", F.expr("substring(__md5, 1, __digits)")).drop("__digits")
@@ -122,23 +116,23 @@ with recursive sized as (
 ), weighed as (
   select key, n, cast(floor(sqrt(n) * 1000) as bigint) as w from sized
 ), parts as (
-  select key, n, (w * ({period} - count(*) over ())) // sum(w) over () as whole, (w * ({period} - count(*) over ())) % sum(w) over () as rest from weighed
+  select key, n, w, (w * ({period} - count(*) over ())) // sum(w) over () as whole, (w * ({period} - count(*) over ())) % sum(w) over () as rest from weighed
 ), ranked as (
   select *, {period} - count(*) over () - sum(whole) over () as spare, row_number() over (order by rest desc, key) as r from parts
 ), shares as (
-  select key, n, cast(1 + whole + case when r <= spare then 1 else 0 end as bigint) as k from ranked
+  select key, n, w, avg(w) over () as even, cast(1 + whole + case when r <= spare then 1 else 0 end as bigint) as k from ranked
 ), edf as (
   select 0 as t, key, k, 0 as done, false as ran from shares
   union all
   select t + 1, key, k, done + case when chosen then 1 else 0 end, chosen from (
-    select t, key, k, done, key = first_value(key) over (order by case when done * {period} // k <= t then 0 else 1 end, -(-(done + 1) * {period} // k), key) as chosen from edf
+    select t, key, k, done, key = first_value(key) over (order by case when done * {period} // k <= t then 0 else 1 end, ((done + 1) * {period} + k - 1) // k, key) as chosen from edf
   ) where t < {period}
 ), slots as (
   select key, k, cast(done - 1 as bigint) as j, t - 1 as at from edf where ran
-), passed as (
-  select n * {period} / k as out, sum(k) over (order by n * {period} / k, key) as s from shares
+), lacking as (
+  select key, k, (n + {block} - 1) // {block} as next from shares where w >= {minor} * even
 ), horizon as (
-  select ceil(min(out) / {block}) as slots from passed where s >= {stop} * {period}
+  select min((next // l.k) * {period} + x.at) as slots from lacking l join slots x on x.key = l.key and x.j = next % l.k
 ), placed as (
   select doc_id, source, coalesce('1' || source, '0') as key,
     (row_number() over (partition by coalesce('1' || source, '0') order by coalesce(md5(cast(doc_id as varchar)), ''), doc_id nulls first) - 1) // {block} as block

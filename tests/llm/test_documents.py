@@ -7,8 +7,10 @@ import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -304,29 +306,49 @@ def test_mix_stays_within_a_block(spark, none):
     rows = [(i, ("big", "mid", "small", None)[int(np.searchsorted([0.7, 0.9, 0.97], rng.random()))]) for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
     weights = {"big": 0.25, "mid": 0.5, "small": 0.25}
-    got = source_mix.mix_sources(docs, weights, block_rows=4, period=64, stop_share=0.01).collect()
+    got = source_mix.mix_sources(docs, weights, block_rows=4, period=64).collect()
     assert len(got) == 4000 and all(r["slot"] is None for r in got if r["source"] is None)
     kept = sorted({(r["slot"], r["source"]) for r in got if r["kept"]})
-    assert [s for s, _ in kept] == list(range(len(kept)))  # a slot each, none empty before the first source runs out
+    assert [s for s, _ in kept] == list(range(len(kept)))  # a slot each, none empty
     seen = Counter()
     for slot, source in kept:
         seen[source] += 1
         for s, w in weights.items():
             assert abs(seen[s] - (slot + 1) * round(w * 64) / 64) < 1.2  # less than one block, and the rounding of weights
-    taken = source_mix.take_mix(docs, weights=weights, block_rows=4, period=64, stop_share=0.01)
+    taken = source_mix.take_mix(docs, weights=weights, block_rows=4, period=64)
     assert {r["doc_id"] for r in taken.collect()} == {r["doc_id"] for r in got if r["kept"]}
     assert source_mix.mix_sources(none).count() == 0
     null_ids = spark.createDataFrame([(None, None), (None, None), (1, "a")], "doc_id long, source string")
     assert source_mix.mix_sources(null_ids).count() == 3
 
 
-def test_mix_keeps_every_row_of_sources_that_have_run_out(spark):
-    import corpus_pipeline as cp
-
+def test_mix_keeps_every_row_of_equal_sources(spark):
     for n_sources, each in ((20, 10), (17, 10), (20, 500)):
         docs = spark.createDataFrame([(i, f"s{i % n_sources}") for i in range(n_sources * each)], "doc_id long, source string")
-        assert cp.mix(spark, docs, "").count() == n_sources * each
-    sizes = {"a": 9, "b": 17, "c": 33, "d": 40, "e": 4000}
-    docs = spark.createDataFrame([(s * 10000 + i, k) for s, (k, n) in enumerate(sizes.items()) for i in range(n)], "doc_id long, source string")
-    got = Counter(r["source"] for r in source_mix.take_mix(docs, weights=dict.fromkeys(sizes, 0.2)).collect())
-    assert all(got[s] == sizes[s] for s in "abcd") and 32 <= got["e"] <= 64  # less than one block off the three of d
+        assert source_mix.take_mix(docs).count() == n_sources * each
+
+
+def test_mix_of_skewed_sources_meets_its_weights(spark):
+    """At production parameters, 100 : 10 : 1, and a stray row that must not end the mix."""
+    sizes = {"large": 20_000, "middle": 2_000, "small": 200, None: 1}
+    docs = spark.createDataFrame([(s * 100_000 + i, k) for s, (k, n) in enumerate(sizes.items()) for i in range(n)], "doc_id long, source string")
+    rows = source_mix.mix_sources(docs).collect()
+    kept = [r for r in rows if r["kept"]]
+    roots = {k: math.floor(math.sqrt(n) * 1000) for k, n in sizes.items()}
+    got, blocks = Counter(r["source"] for r in kept), {k: len({r["block"] for r in kept if r["source"] == k}) for k in sizes}
+    assert len(rows) == sum(sizes.values()) and got["small"] == 200 and got[None] == 1
+    slots = max(r["slot"] for r in kept) + 1
+    for k in ("large", "middle", "small"):
+        assert abs(blocks[k] - slots * roots[k] / sum(roots.values())) < 1 + slots / 2048  # a block, and the rounding to whole slots
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r["doc_id"] for r in rows], "source": [r["source"] for r in rows]}))
+    want = con.execute(source_mix.ORACLE.format(period=2048, block=16, minor=0.1)).fetchall()
+    assert {(r["doc_id"], r["source"], r["block"], r["slot"], r["kept"]) for r in rows} == set(want)
+
+
+def test_mix_raises_for_too_many_sources(spark):
+    docs = spark.createDataFrame([(i, f"s{i}", "b", "s", "k") for i in range(40)], "doc_id long, source string, block string, slot string, kept string")
+    with pytest.raises(Exception, match="too short"):
+        source_mix.mix_sources(docs.drop("block", "slot", "kept"), period=64).collect()
+    got = source_mix.mix_sources(docs, period=128)
+    assert got.columns == ["doc_id", "source", "block", "slot", "kept"] and got.where("kept").count() == 40
