@@ -48,11 +48,15 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each source gives its share by the square root of its size, as far as the mix goes."""
-    return take_mix(docs, block_rows=16, period=2048, stop_share=0.8)
+    """Each source gives its share by the square root of its size, until one has nothing left; rows that share the id at a source's cut all stay.
+
+    A null source is a source of its own, an empty table gives an empty one.
+    """
+    return take_mix(docs, block_rows=16, period=2048, minor=0.1)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of each document.  A null or empty text is a piece with the end token alone; repeated rows and null ids are documents like others."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
