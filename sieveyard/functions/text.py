@@ -34,7 +34,7 @@ def words(x: Column | str) -> Column:
 
 def tokens(x: Column | str) -> Column:
     """Lower-cased stretches between white space, punctuation kept."""
-    return F.filter(F.split(F.lower(col(x)), BLANKS), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(col(x)), F.lit(r"(?U)\S+"), F.lit(0))
 
 
 def ngrams(w: Column, n: int) -> Column:
@@ -83,13 +83,8 @@ def digits_only(x: Column | str) -> Column:
 def has_number(text: Column | str, number: Column | str) -> Column:
     """The number stands in the text with no digit beside it; both lose points, commas and blanks first."""
     text, number = digits_only(text), digits_only(number)
-    return _bounded(text, number)
-
-
-def _bounded(text: Column, number: Column) -> Column:
-    parts = F.split(text, F.concat(F.lit(r"\Q"), number, F.lit(r"\E")), F.lit(-1))
-    inner = F.exists(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: (F.size(parts) > 1) & ~F.element_at(parts, i).rlike("[0-9]$") & ~F.get(parts, i).rlike("^[0-9]"))
-    return F.coalesce((number != "") & inner, F.lit(False))
+    bounded = F.regexp_like(text, F.concat(F.lit(r"(?<!\p{Nd})\Q"), number, F.lit(r"\E(?!\p{Nd})")))
+    return F.coalesce((number != "") & bounded, F.lit(False))
 
 
 def number_text(x: Column | str) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import shutil
+import subprocess
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,25 +55,28 @@ def alternating(turns: Column, least: int = 4, most: int = 6, shortest: int = 5,
     return F.size(turns).between(least, most) & F.forall(good, lambda x: F.coalesce(x, F.lit(False)))
 
 
-@F.pandas_udf(BooleanType())
-def parses(code: pd.Series) -> pd.Series:
-    """Whether Python's parser takes the text; nothing is run."""
-
-    def one(x):
+def parses(lang: str, body: str) -> bool:
+    """Whether Python's parser, or Node's where it is installed, takes the text; nothing is run.  Other languages pass."""
+    if lang == "python":
         try:
-            ast.parse(x or "")
-            return True
+            ast.parse(body)
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             return False
+    elif lang in ("javascript", "js") and (node := shutil.which("node")):
+        return subprocess.run([node, "--check", "-"], input=body.encode(), capture_output=True, timeout=10).returncode == 0
+    return True
 
-    return code.map(one)
+
+@F.pandas_udf(BooleanType())
+def _all_parse(langs: pd.Series, bodies: pd.Series) -> pd.Series:
+    return pd.Series([all(parses(x, y) for x, y in zip(a, b, strict=True)) for a, b in zip(langs, bodies, strict=True)], dtype=bool)
 
 
 def code_block(a: Column, lang: Column) -> Column:
-    """A fenced block must be there; Python's must parse, other languages pass."""
-    body, mark = F.regexp_extract(a, FENCE, 2), F.lower(F.regexp_extract(a, FENCE, 1))
-    python = F.coalesce(F.when(mark != "", mark), F.lower(lang), F.lit("")).isin("python", "py")
-    return a.rlike(FENCE) & F.when(python, parses(body)).otherwise(True)
+    """A fenced block must be there, and every block must parse.  A block without a mark is in ``lang``."""
+    marks, bodies = (F.coalesce(F.regexp_extract_all(a, F.lit(FENCE), F.lit(k)), F.array().cast("array<string>")) for k in (1, 2))
+    langs = F.transform(marks, lambda m: F.lower(F.when(m != "", m).otherwise(F.coalesce(lang, F.lit("")))))
+    return (F.size(bodies) > 0) & _all_parse(langs, bodies)
 
 
 def clean_language(text: Column, pack: LanguagePack, code: bool = False) -> Column:

@@ -37,7 +37,3 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out = docs.select(id_col, F.sha2(F.col(text_col).cast("binary"), 256).alias("h")).join(firsts, "h", "left")
     first = F.coalesce("first_id", F.col(id_col))
     return out.select(id_col, first.alias("first_id"), (first == F.col(id_col)).alias("kept"))
-
-
-def longest_per_group(rows: DataFrame, group: str, length: str, id_col: str) -> DataFrame:
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(F.col(length).desc(), id_col))).where("__r = 1").drop("__r")

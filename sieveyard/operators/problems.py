@@ -19,12 +19,13 @@ def _one_of(name: str, *values: int) -> Column:
 
 
 def problems(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
-    """``id, kind, problem, answer``: ``n`` problems, all arithmetic in whole numbers or exact hundredths.
+    """``id, kind, problem, working, answer``: ``n`` problems, all arithmetic in whole numbers or exact hundredths.
 
     Parameters come from md5 of the seed, the id and their name, so that each problem can be made again alone.
     """
     rows = spark.range(n).select("id", F.lit(seed).alias("seed"))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (draw(F.lit("kind"), "seed", "id") % len(KINDS)).cast("int") + 1)
+    # fixed values: the ranges of the parameters
     rows = rows.withColumn("kind", kind).select(
         "id", "kind", "seed",
         (_one_of("base", 120, 240, 360, 450, 800, 1200, 2500, 3600) + 10 * _between("base+", 0, 24)).alias("base"), _one_of("pct", 5, 8, 12, 15, 20, 25, 35, 40, 45, 60, 75).alias("pct"),
@@ -47,11 +48,18 @@ def problems(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
         "split": (say("%d coins are dealt evenly to %d people. How many does each get?", F.col("people") * F.col("each"), "people"), F.col("each").cast("string")),
         "discount": (say("A product costs %d and is %d%% off. What does it cost now?", "price", "off"), number_text(F.col("price") * (100 - F.col("off")) / 100)),
         "avg": (F.concat(F.lit("What is the mean of "), F.array_join("values", ", "), F.lit("?")), number_text(total / F.col("count"))),
-        "interest": (say("A deposit of %d bears %d%% simple interest a year. How much is it in %d years?", "stake", "rate", "years"), number_text(F.col("stake") * F.col("rate") * F.col("years") / 100)),
+        "interest": (say("A deposit of %d bears %d%% simple interest a year. How much interest is that in %d years?", "stake", "rate", "years"), number_text(F.col("stake") * F.col("rate") * F.col("years") / 100)),
         "mix": (say("You buy %d kg at %d and %d kg at %d. What do you pay?", "kg1", "per1", "kg2", "per2"), (F.col("kg1") * F.col("per1") + F.col("kg2") * F.col("per2")).cast("string")),
         "time": (say("A trip begins at %d:%02d and takes %d minutes. When does it end?", "hour", "minute", "add"), F.format_string("%d:%02d", F.floor(late / 60), late % 60)),
     }
-    problem = answer = F.lit(None).cast("string")
+    steps = {
+        "pct": say("%d * %d / 100", "base", "pct"), "prop": say("%d * %d", "jobs", "days"), "speed": say("%d / %d", F.col("hours") * F.col("pace"), "hours"), "area": say("%d * %d", "long", "wide"),
+        "split": say("%d / %d", F.col("people") * F.col("each"), "people"), "discount": say("%d - %d * %d / 100", "price", "price", "off"),
+        "avg": F.concat(F.lit("("), F.array_join("values", " + "), F.lit(") / "), F.col("count").cast("string")), "interest": say("%d * %d / 100 * %d", "stake", "rate", "years"),
+        "mix": say("%d * %d + %d * %d", "kg1", "per1", "kg2", "per2"), "time": say("%d:%02d + %d min", "hour", "minute", "add"),
+    }
+    problem = answer = working = F.lit(None).cast("string")
     for name, (p, a) in texts.items():
-        problem, answer = F.when(F.col("kind") == name, p).otherwise(problem), F.when(F.col("kind") == name, a).otherwise(answer)
-    return rows.select("id", "kind", problem.alias("problem"), answer.alias("answer"))
+        here = F.col("kind") == name
+        problem, answer, working = F.when(here, p).otherwise(problem), F.when(here, a).otherwise(answer), F.when(here, steps[name]).otherwise(working)
+    return rows.select("id", "kind", problem.alias("problem"), F.concat(working, F.lit(" = "), answer).alias("working"), answer.alias("answer"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveyard.functions.packs import LanguagePack
 from sieveyard.functions.text import WORD, col, letters_share
+from sieveyard.sources.staging import stage
 
 
 def foreign_letters(text: Column | str, pack: LanguagePack) -> Column:
@@ -115,7 +118,7 @@ def echoes(texts: Column, longer_than: int = 40) -> Column:
 def grounding_reasons(convs: DataFrame, leak: str = SOURCE_LEAK, person: str = FIRST_PERSON, longer_than: int = 40) -> DataFrame:
     """``reasons``: all that apply to a conversation's assistant turns, none left out for another."""
     answers = said_by("assistant")
-    joined = F.array_join(answers, "\n")
+    joined = F.array_join(answers, " ")  # a phrase may run on from turn to turn
     reasons = F.array_compact(F.array(F.when(joined.rlike(leak), F.lit("source_leak")), F.when(joined.rlike(person), F.lit("first_person")), F.when(echoes(answers, longer_than), F.lit("echo"))))
     return convs.withColumn("reasons", reasons)
 
@@ -151,6 +154,20 @@ def funnel(docs: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
     return docs.withColumn("reason", F.coalesce(*failed, F.lit(None).cast("string")))
 
 
+def in_order(docs: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], id_col: str = "doc_id") -> DataFrame:
+    """``id, reason``: the first stage that drops a row, null for rows that pass all.
+
+    A stage takes the rows that are left and returns those it drops, so that a dear one works on few.  What it drops is staged.
+    Rows that share an id go together; null ids stay.
+    """
+    left, dropped = docs, None
+    for name, fails in stages:
+        gone = stage(fails(left).select(id_col).distinct().withColumn("reason", F.lit(name)), "dropped")
+        left = left.join(gone.select(id_col), id_col, "left_anti")
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+    return docs.select(id_col).join(dropped, id_col, "left")
+
+
 def funnel_report(judged: DataFrame, names: list[str]) -> DataFrame:
     """Rows in, dropped and kept by stage, and the share kept of all."""
     counted = judged.groupBy("reason").agg(F.count("*").alias("n"))

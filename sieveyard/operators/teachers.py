@@ -86,16 +86,20 @@ class Router:
         return None
 
 
-def generate(prompts: DataFrame, make: Callable[[], Router], prompt_col: str = "prompt") -> DataFrame:
-    """``prompts`` with ``reply``; a router for each task, its cap being that of the task."""
+def generate(prompts: DataFrame, make: Callable[[], Router], prompt_col: str = "prompt", tasks: int = 8, already: int = 0) -> DataFrame:
+    """``prompts`` with ``reply``.  One cap holds for the job: what is ``already`` spent comes off it and each task has its share of the rest.
+
+    A prompt beyond its task's share has a null reply and can be asked again in a later run.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         router = make()
+        router.cap = max(0, router.cap - already) // tasks
         for b in batches:
             yield b.assign(reply=[router.ask(p) for p in b[prompt_col]])
 
-    return prompts.mapInPandas(run, f"{schema}, reply string")
+    return prompts.repartition(tasks).mapInPandas(run, f"{schema}, reply string")
 
 
 def spent(ledgers: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sieveyard.functions import text as T
 from sieveyard.functions.packs import ENGLISH
-from sieveyard.operators import decontaminate, languages, lookup, screen
+from sieveyard.operators import decontaminate, languages, lookup, preferences, screen, vectors
+from sieveyard.sources.staging import stage
 
 W = r"[\p{L}\p{N}_]+"
 FOREIGN = ENGLISH.foreign
@@ -110,7 +111,8 @@ s as (select p.doc_id, sum(p.n * coalesce(m.logp, log10(coalesce(0.75 * b.kinds
 
 def _perplexities(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    return languages.perplexity(docs, languages.perplexity_model(docs))
+    pairs = stage(languages.word_pairs(docs), "pairs")
+    return languages.perplexity(docs, languages.perplexity_model(docs, pairs=pairs), pairs=pairs)
 
 
 @query(f"with {PAIRS} select doc_id, round(pow(10, -score / greatest(words, 1)), 4) as ppl, held_out from s join h using (doc_id)")
@@ -124,6 +126,12 @@ def perplexity_thresholds(spark, sf_dir):
     return languages.nearest_rank(held, "ppl", [50, 75, 90, 95, 99]).select("p", F.round("value", 4).alias("ppl"))
 
 
+@query(f"with {PAIRS} select doc_id from s where pow(10, -score / greatest(words, 1)) <= 300")
+def perplexity_filter_300(spark, sf_dir):
+    """The threshold fits the tables' model; people choose it from the hold-out's percentiles."""
+    return languages.perplexity_filter(_perplexities(spark, sf_dir), 300.0).select("doc_id")
+
+
 @query("with v as (select list_sort(list(n_chars)) as v from documents) select p, v[1 + least(len(v) - 1, len(v) * p // 100)] as n_chars from v, (values (50), (75), (90), (95), (99)) t(p)")
 def nearest_rank_lengths(spark, sf_dir):
     return languages.nearest_rank(table(spark, sf_dir, "documents"), "n_chars", [50, 75, 90, 95, 99]).select("p", F.col("value").alias("n_chars"))
@@ -181,17 +189,37 @@ def prompt_grams_raw_n8(spark, sf_dir):
     return decontaminate.raw_grams(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=8)
 
 
-# funnels
+# funnels: language, bleed, perplexity, leaks, in this order, each over what the one before has kept
 
-FUNNEL = f"""with j as (select doc_id, case when lang is distinct from 'en' then 'language' when coalesce(f + h + d, 0) > 2 or t then 'bleed' when n_chars > 20000 then 'length' when l.doc_id is not null then 'leak' end as reason
-from (select x.*, lang from ({HITS}) x join documents using (doc_id)) left join ({ORACLES['decontaminate_corpus_n8']}) l using (doc_id))"""
+STAGES = ("language", "bleed", "perplexity", "leak")
+FUNNEL = f"""with l as ({ORACLES['language_filter_en']}), fluent as ({ORACLES['perplexity_filter_300']}), k as ({ORACLES['decontaminate_corpus_n8']}),
+j as (select doc_id, case when doc_id not in (select doc_id from l) then 'language' when coalesce(f + h + d, 0) > 2 or t then 'bleed' when doc_id not in (select doc_id from fluent) then 'perplexity'
+  when doc_id in (select doc_id from k) then 'leak' end as reason from ({HITS}))"""
 
 
-def _judged(spark, sf_dir):
+def _screens(spark, sf_dir, most):
+    """The four stages for rows of ``doc_id`` and ``text``; the models come from all documents."""
     docs = table(spark, sf_dir, "documents")
-    leaks = decontaminate.corpus_leaks(docs, table(spark, sf_dir, "benchmark"), n=8).select("doc_id", F.lit(True).alias("leaks"))
-    fails = [("language", ~F.col("lang").eqNullSafe("en")), ("bleed", screen.bleed_reason("text", ENGLISH).isNotNull()), ("length", F.col("n_chars") > 20000), ("leak", F.col("leaks"))]
-    return screen.funnel(docs.join(leaks, "doc_id", "left"), fails)
+    learnt = docs.where(F.col("text").isNotNull())
+
+    def language(rows):
+        scored = languages.language_confidence(rows, languages.language_profile(docs))
+        return rows.join(languages.language_filter(scored, "en", 0.65).select("doc_id"), "doc_id", "left_anti")
+
+    def perplexity(rows):
+        scored = languages.perplexity(rows, languages.perplexity_model(learnt))
+        return rows.join(languages.perplexity_filter(scored, most).select("doc_id"), "doc_id", "left_anti")
+
+    return [
+        ("language", language),
+        ("bleed", lambda rows: rows.where(screen.bleed_reason("text", ENGLISH).isNotNull())),
+        ("perplexity", perplexity),
+        ("leak", lambda rows: decontaminate.corpus_leaks(rows, table(spark, sf_dir, "benchmark"), n=8)),
+    ]
+
+
+def _judged(spark, sf_dir):
+    return screen.in_order(table(spark, sf_dir, "documents").select("doc_id", "text"), _screens(spark, sf_dir, 300.0))
 
 
 @query(FUNNEL + " select doc_id, reason from j")
@@ -199,11 +227,11 @@ def corpus_funnel(spark, sf_dir):
     return _judged(spark, sf_dir).select("doc_id", "reason")
 
 
-@query(FUNNEL + """, s as (select pos, stage, (select count(*) from j where reason = stage) as dropped from (values (0, 'language'), (1, 'bleed'), (2, 'length'), (3, 'leak')) t(pos, stage)),
+@query(FUNNEL + """, s as (select pos, stage, (select count(*) from j where reason = stage) as dropped from (values (0, 'language'), (1, 'bleed'), (2, 'perplexity'), (3, 'leak')) t(pos, stage)),
 r as (select *, sum(dropped) over (order by pos) as gone, (select count(*) from j) as total from s)
 select stage, cast(total - gone + dropped as bigint) as rows_in, dropped, cast(total - gone as bigint) as kept, round((total - gone) / total, 6) as share from r""")
 def corpus_funnel_report(spark, sf_dir):
-    return screen.funnel_report(_judged(spark, sf_dir), ["language", "bleed", "length", "leak"])
+    return screen.funnel_report(_judged(spark, sf_dir), [*STAGES])
 
 
 @query(FUNNEL + " select coalesce(reason, 'kept') as reason, count(*) as n from j group by all")
@@ -226,7 +254,7 @@ def conversation_text(spark, sf_dir):
 
 @query(rf"""with {CONV}, a as (select conv_id, list_transform(list_filter(t, lambda x: x.role = 'assistant'), lambda x: x.text) as a from c),
 s as (select conv_id, a, list_filter(list_transform(flatten(list_transform(a, lambda x: regexp_split_to_array(x, '[.!?][\s\p{{Z}}]+'))), lambda x: trim(x, chr(10) || ' ')), lambda x: length(x) > 15) as s from a)
-select conv_id, array_to_string(list_filter([case when regexp_matches(array_to_string(a, chr(10)), '(?i)quelle|fuente') then 'source_leak' end, case when regexp_matches(array_to_string(a, chr(10)), '(?i)(^|[^\p{{L}}])(ich|yo)([^\p{{L}}]|$)') then 'first_person' end,
+select conv_id, array_to_string(list_filter([case when regexp_matches(array_to_string(a, ' '), '(?i)quelle|fuente') then 'source_leak' end, case when regexp_matches(array_to_string(a, ' '), '(?i)(^|[^\p{{L}}])(ich|yo)([^\p{{L}}]|$)') then 'first_person' end,
   case when len(s) > len(list_distinct(s)) then 'echo' end], lambda x: x is not null), ',') as reasons from s""")
 def grounding_reasons_15(spark, sf_dir):
     """The patterns and the length fit the tables' languages; the fixed ones are tested on planted rows."""
@@ -235,6 +263,30 @@ def grounding_reasons_15(spark, sf_dir):
     return out.select("conv_id", F.array_join("reasons", ",").alias("reasons"))
 
 
+def _sft(spark, sf_dir):
+    """Stages of a conversation screen: those of the corpus, with the threshold of the register, then near copies by the vectors of the same ids."""
+    convs = screen.conversations(table(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("doc_id"), "text")
+    v = table(spark, sf_dir, "embeddings")
+
+    def copies(rows):
+        own = v.join(rows.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+        return vectors.greedy_near_duplicates(own, threshold=0.2).where("not kept").select(F.col("vec_id").alias("doc_id"))
+
+    return screen.in_order(convs, [*_screens(spark, sf_dir, 2000.0), ("copy", copies)])
+
+
+@query()
+def sft_screen(spark, sf_dir):
+    """Rows only: the tables' conversations are few; a test holds the stages and their order on planted ones."""
+    return _sft(spark, sf_dir).select(F.col("doc_id").alias("conv_id"), "reason")
+
+
+@query()
+def sft_review_300(spark, sf_dir):
+    kept = _sft(spark, sf_dir).where("reason is null").select("doc_id")
+    return preferences.seeded_sample(kept, 300, id_col="doc_id").select(F.col("doc_id").alias("conv_id"))
+
+
 def hits_sql(x: str) -> str:
     return rf"(len(regexp_extract_all(lower({x}), '{FOREIGN}')) + len(list_filter(regexp_extract_all(lower({x}), '{W}'), lambda w: regexp_matches(w, '[a-z]') and regexp_matches(w, '[0-9]'))) + len(list_filter(regexp_extract_all({x}, '{W}'), lambda w: regexp_matches(w, '^[Qq]q'))))"
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sieveyard.functions.packs import LanguagePack
+
 
 def jsonl(spark: SparkSession, path: str, schema: StructType | str, sources: list[str] | None = None, source_col: str = "source", parts: int | None = None) -> DataFrame:
     """Rows of JSON lines, plain or gzip; blank lines are skipped, broken ones raise.
@@ -43,6 +45,11 @@ def terms(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(line.alias("term")).where((F.col("term") != "") & ~F.col("term").startswith("#")).distinct()
 
 
+def approved_pack(spark: SparkSession, pack: LanguagePack, path: str) -> LanguagePack:
+    """The pack's own terms and those of an approved list, which people read and so is short."""
+    return pack.with_terms(r["term"] for r in terms(spark, path).collect())
+
+
 def markdown_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids of headings ``## id ...``, in files of any size taken whole."""
     text = spark.read.option("wholetext", True).text(path)

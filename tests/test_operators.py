@@ -33,7 +33,7 @@ def test_words_and_grams(spark):
     assert one(spark, "One. Two?!  … Three", F.size(T.sentences("x"))) == 3
 
 
-@pytest.mark.parametrize(("text", "number", "hit"), [("it is 16, 20", "1620", True), ("1.620 in all", "1620", True), ("16200", "1620", False), ("31620", "1620", False), ("so 5 or 15", "5", True), ("so 15", "5", False), ("so 5 or x", "5", True), ("", "5", False), ("x", "", False), ("a.b", "a", True)])
+@pytest.mark.parametrize(("text", "number", "hit"), [("it is 16, 20", "1620", True), ("1.620 in all", "1620", True), ("16200", "1620", False), ("31620", "1620", False), ("so 5 or 15", "5", True), ("so 15", "5", False), ("so 5 or x", "5", True), ("", "5", False), ("x", "", False), ("a.b", "a", True), ("11", "1", False), ("2 and 22", "2", False), ("2, a 22", "2", True)])
 def test_numbers_between_digits(spark, text, number, hit):
     df = spark.createDataFrame([(text, number)], "t string, n string")
     assert df.select(T.has_number("t", "n").alias("y")).first()["y"] is hit
@@ -100,7 +100,9 @@ def test_greedy_is_neither_components_nor_any_earlier(spark):
 def test_gates(spark):
     assert one(spark, "```python\nx = 1\n```", gates.code_block(F.col("x"), F.lit("python")))
     assert not one(spark, "```python\nx = = 1\n```", gates.code_block(F.col("x"), F.lit("python")))
-    assert one(spark, "```js\nx = = 1\n```", gates.code_block(F.col("x"), F.lit("js")))
+    assert not one(spark, "```python\nx = 1\n```\nand\n```Python\nx = = 1\n```", gates.code_block(F.col("x"), F.lit("python")))
+    assert one(spark, "```text\nx = = 1\n```", gates.code_block(F.col("x"), F.lit("python"))) and one(spark, "```py\nx = = 1\n```", gates.code_block(F.col("x"), F.lit("python")))
+    assert not one(spark, "```\nx = = 1\n```", gates.code_block(F.col("x"), F.lit("python"))) and not one(spark, None, F.coalesce(gates.code_block(F.col("x"), F.lit("python")), F.lit(False)))
     assert not one(spark, "no block", gates.code_block(F.col("x"), F.lit("python")))
     assert one(spark, "резултатот е 12,5 км", gates.answer_present(F.col("x"), F.lit("12.5")))
     assert one(spark, 2, gates.choice_shape(F.array(*map(F.lit, "abcd")), F.col("x")), "int") and not one(spark, 4, gates.choice_shape(F.array(*map(F.lit, "abcd")), F.col("x")), "int")
@@ -243,3 +245,48 @@ def test_benchmark_forms(spark):
     assert copa["question"] == "Premise, затоа што" and copa["choices"] == ["yes it is", "no"]
     chat = turns(spark, "sys", "hello", roles=("system", "user")).select(evaluation.render_chat(F.col("turns")).alias("y")).first()["y"]
     assert chat == "<|turn>user\nsys\n\nhello<turn|>\n"
+
+
+def test_stages_see_what_is_left(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "ab"), (3, "abc"), (None, "abc")], "doc_id long, text string")
+    seen = []
+
+    def fails(letter):
+        def stage(rows):
+            seen.append(rows.count())
+            return rows.where(F.col("text").contains(letter))
+
+        return stage
+
+    got = {(r["doc_id"], r["reason"]) for r in screen.in_order(docs, [("c", fails("c")), ("b", fails("b"))]).collect()}
+    assert got == {(1, None), (2, "b"), (3, "c"), (None, None)} and seen == [4, 3]
+
+
+def test_leaks_by_inner_words(spark):
+    items = spark.createDataFrame([(1, "xx the quick brown foxes ran"), (2, "the quick red fox"), (3, None), (4, ""), (5, "one two")], "doc_id long, text string")
+    evals = spark.createDataFrame([("e quick brown fox",), ("Quick red",), (None,), ("",)], "text string")
+    assert {r["doc_id"] for r in decontaminate.corpus_leaks(items, evals).where("by_short").collect()} == {1}
+    assert {r["doc_id"] for r in decontaminate.raw_grams(items, evals).collect()} == {1, 2}
+
+
+def test_vectors_with_nulls(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [0.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert {r["vec_id"] for r in vectors.greedy_near_duplicates(rows).where("not kept").collect()} == {2}
+    top = vectors.top_passages(rows.where("vec_id in (1, 3)"), rows, k=9).collect()
+    assert [(r["query_id"], r["passage_id"]) for r in sorted(top, key=lambda r: r["rank"])] == [(1, 1), (1, 2), (1, 6)]
+    assert vectors.greedy_near_duplicates(rows.limit(0)).count() == 0 and vectors.top_passages(rows.limit(0), rows).count() == 0
+
+
+def test_approved_terms_join_the_pack(spark, tmp_path):
+    path = tmp_path / "approved.txt"
+    path.write_text("# list\nВрло\nзборче\n\n", encoding="utf-8")
+    pack = readers.approved_pack(spark, MACEDONIAN, str(path))
+    assert set(pack.terms) == {*MACEDONIAN.terms, "зборче"} and one(spark, "едно зборче тука", screen.has_term("x", pack))
+
+
+def test_one_cap_for_the_job(spark):
+    prompts = spark.createDataFrame([(f"prompt {i} of some words",) for i in range(64)], "prompt string")
+    make = lambda: teachers.Router({"a": teachers.offline}, {"a": 1.0}, cap=2000)
+    answered = teachers.generate(prompts, make, tasks=4, already=1000).where("reply is not null").count()
+    each = len("prompt 1 of some words".split()) + len(teachers.offline("x").split())
+    assert 0 < answered <= 4 * (250 // each + 1)
