@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from sieveyard.llm import class_lm, embedding_duplicates, exact_topk, language_id, main_text, near_duplicates, packing, source_mix, substring_duplicates, token_counts
+from sieveyard.llm import class_lm, embedding_duplicates, exact_topk, language_id, main_text, near_duplicates, oracles, packing, source_mix, substring_duplicates, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,4 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_source_mix": source_mix.ORACLE.format(period=2048, block=16, minor=0.1),
+    "op4_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op6_substring_duplicates": oracles.SUBSTRING_DUPLICATES,
+    "op9_embedding_duplicates": oracles.EMBEDDING_DUPLICATES,
+    "op10_exact_topk": oracles.EXACT_TOPK,
 }
