@@ -1,7 +1,8 @@
 """Brown class-based n-grams.
 
-Exchange clustering moves word types between classes while that raises the likelihood of class bigrams.  Types are the most
-frequent words themselves and, for all other words, their endings, so that every word, seen or not, has a class.  A
+Exchange clustering moves word types between classes while that raises the likelihood of class bigrams.  It begins with the most
+frequent words and, for all other words, their endings, so that every word, seen or not, has a class.  Then all words of the
+broadcast table are exchanged at once, each by the classes of its own neighbours.  A
 text's probability is the product of class transitions and of words given their class, both smoothed.
 
 Counts of all words come from all training texts.  Words are 64-bit hashes here; counts travel in buckets of
@@ -59,6 +60,11 @@ def _summed(h: np.ndarray, count: np.ndarray, ending: np.ndarray) -> tuple[np.nd
     return h[at], np.add.reduceat(count, at) if len(at) else count, ending[at]
 
 
+def magnitude(count: np.ndarray) -> np.ndarray:
+    """Which eighth of a power of two."""
+    return np.floor(8 * np.log2(np.maximum(count, 1))).astype(np.int64)
+
+
 def exchange(bigrams: np.ndarray, classes: int, rounds: int = 6) -> np.ndarray:
     """The class of each type.  ``bigrams[i, j]`` counts type j after type i.
 
@@ -118,7 +124,7 @@ class Model:
         self.key = uuid.uuid4().int
         self.frequent, self.counts, self.types, self.by_ending = frequent, counts, types, by_ending
         self.end_type, self.end_count, self.tokens, self.distinct = end_type, end_count, tokens, distinct
-        self.of = self.transition = self.emission = None
+        self.of = self.own_class = self.transition = self.emission = None
 
     def look_up(self, h: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Types, and counts of frequent words (-1 for others)."""
@@ -130,6 +136,27 @@ class Model:
         return types, np.where(known, self.counts[at], -1)
 
 
+    def class_of(self, h: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes, counts of frequent words (-1 for others) and their numbers in the table."""
+        if not len(self.frequent):
+            return self.of[self.by_ending[ending]], np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
+        known = self.frequent[at] == h
+        return np.where(known, self.own_class[at], self.of[self.by_ending[ending]]), np.where(known, self.counts[at], -1), at
+
+
+def exchange_all(left: np.ndarray, right: np.ndarray, counts: np.ndarray, of: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The best class of each word, the others staying where they are.
+
+    ``left[w, c]`` and ``right[w, c]`` count classes before and after word w; ``table`` counts class bigrams.  The gain of a class is that of the transitions
+    into and out of it, less the share that the word's tokens have in the class.
+    """
+    classes = len(table)
+    log = np.log((table + TRANSITION_FLOOR) / (table.sum(axis=1, keepdims=True) + TRANSITION_FLOOR * classes))
+    size = np.maximum(table.sum(axis=0)[None, :] - np.where(np.arange(classes) == of[:, None], counts[:, None], 0), 0) + counts[:, None] + FLOOR
+    return np.argmax(left @ log + right @ log.T - counts[:, None] * np.log(size), axis=1)
+
+
 def sequences(words: Words, types: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of neighbouring types with their text's number; each text has the end before and after it."""
     n, size = words.n, np.diff(words.first)
@@ -152,8 +179,8 @@ def class_lm(docs: DataFrame, train: Column, classes: int = 48, own_types: int =
     Null and empty texts consist of the end token.  Repeated rows are texts of their own, null ids pass, ids are integers, other columns are
     ignored.  Without a training row all counts are 0.
 
-    What reaches the driver or all executors is bounded: ``frequent`` words with exact counts, and (``own_types`` +
-    ``ending_types``)**2 bigram counts.  All else moves in buckets of the hash, and texts are never shuffled.
+    What reaches the driver or all executors is bounded: at most ``frequent`` words with exact counts, those above a count that depends on the corpus,
+    with ``2 * classes`` numbers each, and (``own_types`` + ``ending_types``)**2 bigram counts.  All else moves in buckets of the hash, and texts are never shuffled.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -192,28 +219,51 @@ def class_lm(docs: DataFrame, train: Column, classes: int = 48, own_types: int =
                 yield flush()
                 waiting = 0
         yield flush()
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([_pack(np.append(tails, ends))], pa.binary())], names=["bucket", "words"])
+        part = TaskContext.get().partitionId() % 64
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - part], pa.int64()), pa.array([_pack(np.append(tails, ends))], pa.binary())], names=["bucket", "words"])
 
     def merge(t: pa.Table) -> pa.Table:
-        """A bucket's vocabulary; bucket -1 holds the counts of endings and of texts."""
+        """A bucket's vocabulary, and how many of its words have which power of two as their count, in eighths; buckets under 0 hold the counts of endings and of texts."""
         bucket = t.column("bucket")[0].as_py()
         if bucket < 0:
             total = np.sum([_unpack(b.as_py(), "i8")[0] for b in t.column("words")], axis=0)
-            return pa.table({"bucket": pa.array([bucket], pa.int64()), "words": pa.array([_pack(total)], pa.binary()), "tokens": pa.array([0], pa.int64()), "distinct": pa.array([0], pa.int64()), "top": pa.array([b""], pa.binary())})
+            return pa.table({"bucket": pa.array([bucket], pa.int64()), "words": pa.array([_pack(total)], pa.binary()), "tokens": pa.array([0], pa.int64()), "distinct": pa.array([0], pa.int64()), "histogram": pa.array([b""], pa.binary())})
         parts = [_unpack(b.as_py(), "u8", "u4", "u2") for b in t.column("words")]
         h, c, e = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64), np.concatenate([p[2] for p in parts]))
-        best = np.sort(np.argsort(-c, kind="stable")[: frequent // buckets])
-        return pa.table({"bucket": pa.array([bucket], pa.int64()), "words": pa.array([_pack(h, c, e)], pa.binary()), "tokens": pa.array([int(c.sum())], pa.int64()), "distinct": pa.array([len(h)], pa.int64()), "top": pa.array([_pack(h[best], c[best])], pa.binary())})
+        return pa.table({"bucket": pa.array([bucket], pa.int64()), "words": pa.array([_pack(h, c, e)], pa.binary()), "tokens": pa.array([int(c.sum())], pa.int64()), "distinct": pa.array([len(h)], pa.int64()), "histogram": pa.array([_pack(np.bincount(magnitude(c), minlength=512))], pa.binary())})
 
-    counted = rows.mapInArrow(count, "bucket long, words binary").groupBy("bucket").applyInArrow(merge, "bucket long, words binary, tokens long, distinct long, top binary")
+    counted = rows.mapInArrow(count, "bucket long, words binary").groupBy("bucket").applyInArrow(merge, "bucket long, words binary, tokens long, distinct long, histogram binary")
     vocabulary = stage(counted, "vocabulary")
     total = vocabulary.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
-    tails = _unpack(vocabulary.where("bucket = -1").select("words").first()["words"], "i8")[0] if vocabulary.where("bucket = -1").count() else np.zeros(65_537, np.int64)
+    blobs = lambda name, which: [x.as_py() for x in vocabulary.where(which).select(name).toArrow().column(name)]
+    tails = sum((_unpack(b, "i8")[0] for b in blobs("words", "bucket < 0")), np.zeros(65_537, np.int64))  # 64 at most
     ends = int(tails[-1])
-    top = [_unpack(x.as_py(), "u8", "i8") for x in vocabulary.where("bucket >= 0").select("bucket", "top").toArrow().column("top")]
-    words_, counts_ = (np.concatenate(x) for x in zip(*top)) if top else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+    def added_up(batches):
+        total = np.zeros(512, np.int64)
+        for batch in batches:
+            for blob in batch.column(0):
+                total += _unpack(blob.as_py(), "i8")[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(512)), pa.array(total)], names=["magnitude", "n"])
+
+    sums = vocabulary.where("bucket >= 0").select("histogram").mapInArrow(added_up, "magnitude long, n long").groupBy("magnitude").agg(F.sum("n").alias("n")).collect()
+    histogram = np.zeros(512, np.int64)
+    for r in sums:
+        histogram[r["magnitude"]] = r["n"]
+    above = np.append(np.cumsum(histogram[::-1])[::-1], 0)
+    least = int(np.flatnonzero(above <= frequent)[0])
+
+    def commonest(batches):
+        for batch in batches:
+            for blob in batch.column(0):
+                h, c, e = _unpack(blob.as_py(), "u8", "i8", "u2")
+                on = magnitude(c) >= least
+                yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(c[on]), pa.array(e[on].astype(np.int32))], names=["h", "n", "ending"])
+
+    top = vocabulary.where("bucket >= 0").select("words").mapInArrow(commonest, "h long, n long, ending int").toArrow()
+    words_, counts_, endings_ = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("ending").to_numpy()
     order = np.argsort(words_)
-    words_, counts_ = words_[order], counts_[order]
+    words_, counts_, endings_ = words_[order], counts_[order], endings_[order]
     types = np.full(len(words_), -1, np.int64)
     own = np.argsort(-counts_, kind="stable")[:own_types]
     types[own] = np.arange(len(own))
@@ -250,7 +300,56 @@ def class_lm(docs: DataFrame, train: Column, classes: int = 48, own_types: int =
     one = np.zeros((all_types, classes))
     one[np.arange(all_types), of] = 1
     table = one.T @ bigrams @ one
-    model.of = of
+    model.of, end_class = of, int(of[-1])
+    model.own_class = of[np.where(types >= 0, types, by_ending[endings_])]
+    grouped = spark.sparkContext.broadcast(model)
+
+    def classes_of(m, words, tail):
+        c, n, at = m.class_of(words.hash, tail)
+        before, row, _ = sequences(words, c, end_class)
+        return before, row, n, at
+
+    def neighbours(batches):
+        """Classes before and after the words of the table."""
+        m, seen = grouped.value, np.zeros((2, len(words_) * classes), np.int64)
+        for words, tail in learnt(batches):
+            before, row, n, at = classes_of(m, words, tail)
+            known = np.flatnonzero(n >= 0)
+            place = known + words.doc[known]  # in the row of words and ends
+            seen[0] += np.bincount(at[known] * classes + before[place], minlength=seen.shape[1])
+            seen[1] += np.bincount(at[known] * classes + row[place + 1], minlength=seen.shape[1])
+        for side in (0, 1):
+            on = np.flatnonzero(seen[side])
+            share = on // classes % 64
+            for k in np.unique(share):
+                part = on[share == k]
+                yield pa.RecordBatch.from_arrays([pa.array([int(k) + 64 * side]), pa.array([_pack(part, seen[side][part])], pa.binary())], names=["share", "pairs"])
+
+    def added_with_side(t: pa.Table) -> pa.Table:
+        return added(t).append_column("side", pa.array([t.column("share")[0].as_py() // 64], pa.int64())).select(["side", "pairs"])
+
+    sides = np.zeros((2, len(words_) * classes), np.float32)
+    if len(words_):
+        met = rows.mapInArrow(neighbours, "share long, pairs binary").groupBy("share").applyInArrow(added_with_side, "side long, pairs binary").toArrow()
+        for side, x in zip(met.column("side").to_pylist(), met.column("pairs")):
+            at, n = _unpack(x.as_py(), "i8", "i8")
+            sides[side][at] = n
+        left, right = sides.reshape(2, len(words_), classes)
+        model.own_class = exchange_all(left, right, counts_.astype(float), model.own_class, table)
+        grouped = spark.sparkContext.broadcast(model)
+
+    def class_pairs(batches):
+        m, seen = grouped.value, np.zeros(classes * classes, np.int64)
+        for words, tail in learnt(batches):
+            before, row, _, _ = classes_of(m, words, tail)
+            seen += np.bincount(before * classes + row, minlength=len(seen))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], names=["pair", "n"])
+
+    if len(words_):
+        table = np.zeros(classes * classes)
+        for r in rows.mapInArrow(class_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+            table[r["pair"]] = r["n"]
+        table = table.reshape(classes, classes)
     model.transition = np.log10((table + TRANSITION_FLOOR) / (table.sum(axis=1, keepdims=True) + TRANSITION_FLOOR * classes))
     classed = spark.sparkContext.broadcast(model)
 
@@ -260,7 +359,7 @@ def class_lm(docs: DataFrame, train: Column, classes: int = 48, own_types: int =
         for batch in batches:
             for blob in batch.column(0):
                 h, c, e = _unpack(blob.as_py(), "u8", "i8", "u2")
-                k = m.of[m.look_up(h, e.astype(np.int64))[0]]
+                k = m.class_of(h, e.astype(np.int64))[0]
                 tokens += np.bincount(k, c, classes).astype(np.int64)
                 distinct += np.bincount(k, minlength=classes)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(tokens), pa.array(distinct)], names=["class", "tokens", "distinct"])
@@ -284,9 +383,8 @@ def class_lm(docs: DataFrame, train: Column, classes: int = 48, own_types: int =
             for i, j in chunks(offsets, 6_000_000):
                 words = Words(data, offsets[i : j + 1], lower=True)
                 n = words.n
-                kinds, c = m.look_up(words.hash, endings(words)) if len(words.hash) else (np.empty(0, np.int64), np.empty(0, np.int64))
-                before, after, doc = sequences(words, kinds, m.end_type)
-                before, after = m.of[before], m.of[after]
+                kinds, c = m.class_of(words.hash, endings(words))[:2] if len(words.hash) else (np.empty(0, np.int64), np.empty(0, np.int64))
+                before, after, doc = sequences(words, kinds, end_class)
                 model_part = np.bincount(doc, m.transition[before, after] - m.emission[after], n)
                 common = c >= 0
                 at = words.doc[common]

@@ -256,6 +256,41 @@ def test_class_model_and_base_score(docs, none, spark):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and abs(r["base_score"]) < 1e-9 for r in untaught)
 
 
+def test_one_class_scores_as_the_base(docs):
+    """With a single class transitions say nothing and the emission is the base's, of frequent and of rare words alike."""
+    from pyspark.sql import functions as F
+
+    for frequent in (65_536, 20, 0):
+        for r in class_lm.class_lm(docs, train=F.coalesce(F.col("doc_id") % 4 != 0, F.lit(True)), classes=1, frequent=frequent).collect():
+            assert abs(r["score"] - r["base_score"]) < 1e-6
+
+
+def test_exchange_of_all_words_equals_trying_each():
+    rng = np.random.default_rng(4)
+    left, right = rng.integers(0, 9, (30, 5)).astype(float), rng.integers(0, 9, (30, 5)).astype(float)
+    counts, of, table = left.sum(axis=1), rng.integers(0, 5, 30), rng.integers(300, 900, (5, 5)).astype(float)
+    got = class_lm.exchange_all(left, right, counts, of, table)
+    into = (table + 0.5) / (table.sum(axis=1, keepdims=True) + 2.5)
+    for w in range(30):
+        gains = []
+        for c in range(5):
+            others = table[:, c].sum() - (counts[w] if c == of[w] else 0)
+            gains.append(sum(left[w, a] * math.log(into[a, c]) + right[w, a] * math.log(into[c, a]) for a in range(5)) - counts[w] * math.log(others + counts[w] + 0.1))
+        assert got[w] == int(np.argmax(gains))
+
+
+def test_words_in_context_join_the_right_class(spark):
+    """Numbers follow 'take', colours follow 'paint': a held-out text with the right kinds is likelier than with wrong ones."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    ones, twos = [f"n{i}x" for i in range(30)], [f"c{i}x" for i in range(30)]
+    rows = [(i, " ".join(f"take {ones[a]} paint {twos[b]}" for a, b in rng.integers(0, 30, (40, 2)))) for i in range(60)]
+    rows += [(1000, f"take {ones[3]} paint {twos[4]}"), (1001, f"take {twos[4]} paint {ones[3]}")]
+    got = {r["doc_id"]: r["score"] for r in class_lm.class_lm(spark.createDataFrame(rows, "doc_id long, text string"), train=F.col("doc_id") < 1000, classes=5, own_types=4, ending_types=2).collect()}
+    assert got[1000] > got[1001] + 1
+
+
 def test_exchange_parts_alternating_types():
     pairs = np.zeros((6, 6))
     for a in (0, 2, 4):
