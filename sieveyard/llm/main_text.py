@@ -15,7 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>|[^<]++|<", re.S)
+#: The same where quotes no longer pair up: a tag then ends at the next ">".
+UNPAIRED = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>|[^<]++|<", re.S)
+OPENS = re.compile(r"<(?:/?[a-zA-Z]|([!?]))")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HIDING = re.compile(r"hidden|display", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -110,16 +113,23 @@ def tree(html: str) -> Node:
             x = x.parent
         return None
 
-    position, size = 0, len(html)
+    position, size, token = 0, len(html), TOKEN
+    last = html.rfind(">")
     while position < size:
         if raw:
             m = re.compile(rf"</{raw}(?=[\s/>])", re.I).search(html, position)
             position = m.start() if m else size
             raw = ""
             continue
-        m = TOKEN.match(html, position)
-        position = m.end()
+        opens = html[position] == "<" and OPENS.match(html, position)
+        if opens and position > last:  # the page ends within a tag or a comment
+            break
+        m = token.match(html, position)
         tag = m[2]
+        if opens and not opens[1] and tag is None and token is TOKEN:
+            token = UNPAIRED
+            continue
+        position = m.end()
         if tag is None:
             text = m[0]
             if not skipping and (text[0] != "<" or text == "<"):
