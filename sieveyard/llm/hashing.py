@@ -93,6 +93,14 @@ class Words:
         at = np.flatnonzero(self.doc[:n] == self.doc[k - 1 :])
         return at, mix(h[at])
 
+    def second(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Another hash of the windows that start at the given words."""
+        h = np.zeros(len(at), np.uint64)
+        for j in range(k):
+            h *= _STEP
+            h += mix(self.hash[at + j] ^ _WIN)
+        return mix(h)
+
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets; null counts as empty."""

@@ -3,7 +3,7 @@
 First pass: each partition sketches its windows' hashes by count-min, as counts of none, one and more, over as many
 cells as the number of windows asks for.  Sketches are sparse, cut into segments, and merge by segment.  Counts
 are never under the truth, so a window that occurs twice stands in cells that say "more" in every row.
-Second pass: only windows so estimated are grouped exactly, by their hash, for the first place they start at; each
+Second pass: only windows so estimated are grouped exactly, by 128 bits of two hashes, for the first place they start at; each
 partition passes on a window once.  Each document then learns which of its windows are first, and loses the words
 of the others.
 """
@@ -103,27 +103,29 @@ def repeated(shared) -> Repeated:
 
 
 class Places:
-    """Candidate windows with the first place of each: hash, id, word number."""
+    """Candidate windows with the first place of each: two hashes, id, word number."""
+
+    KINDS = ("u8", "u8", "i8", "i4")
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, h: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
-        self.parts.append((h, ids, at))
+    def add(self, h: np.ndarray, again: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        self.parts.append((h, again, ids, at))
         self.size += len(h)
 
-    def firsts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def firsts(self) -> tuple[np.ndarray, ...]:
         """Sorted by hash."""
         if not self.parts:
-            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
-        h, ids, at = (np.concatenate(x) for x in zip(*self.parts))
+            return tuple(np.empty(0, k) for k in self.KINDS)
+        h, again, ids, at = (np.concatenate(x) for x in zip(*self.parts))
         self.__init__()
-        order = np.lexsort((at, ids, h))
-        h, ids, at = h[order], ids[order], at[order]
+        order = np.lexsort((at, ids, again, h))
+        h, again, ids, at = h[order], again[order], ids[order], at[order]
         first = np.ones(len(h), dtype=bool)
-        first[1:] = h[1:] != h[:-1]
-        return h[first], ids[first], at[first]
+        first[1:] = (h[1:] != h[:-1]) | (again[1:] != again[:-1])
+        return h[first], again[first], ids[first], at[first]
 
 
 def sent(own: CountMin):
@@ -215,24 +217,24 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                 on = again.test(h)
                 at, h = at[on], h[on]
                 doc = words.doc[at]
-                own.add(h, ids[texts_at][doc], (at - words.first[doc]).astype(np.int32))
-            if own.size > FLUSH:
+                own.add(h, words.second(at, window), ids[texts_at][doc], (at - words.first[doc]).astype(np.int32))
+            if own.size > FLUSH // 2:
                 yield from dealt(own)
         yield from dealt(own)
 
     def dealt(own: Places):
-        h, ids, at = own.firsts()
+        h, again, ids, at = own.firsts()
         bucket = (h >> U(32)) * U(buckets) >> U(32)
         edges = np.append(np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1)), len(h))
-        blobs = [to_blob(h[a:b], ids[a:b], at[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+        blobs = [to_blob(h[a:b], again[a:b], ids[a:b], at[a:b]) for a, b in zip(edges[:-1], edges[1:])]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]].astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "places"])
 
     def owners(t: pa.Table) -> pa.Table:
         """Each window's first place, for the group of its document."""
         own = Places()
         for blob in t.column("places"):
-            own.add(*from_blob(blob.as_py(), "u8", "i8", "i4"))
-        _, ids, at = own.firsts()
+            own.add(*from_blob(blob.as_py(), *Places.KINDS))
+        _, _, ids, at = own.firsts()
         group = np.mod(ids ^ (ids >> 13), groups)
         order = np.lexsort((at, ids, group))
         group, ids, at = group[order], ids[order], at[order]
