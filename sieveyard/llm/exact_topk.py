@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveyard.llm.vectors import finite, matrix
@@ -42,7 +42,7 @@ class SortedLists:
                 seen = read.copy()
                 seen[self.order[n - depth :, up].ravel()] = True
                 seen[self.order[:depth, down].ravel()] = True
-                new = np.flatnonzero(~read) if seen.sum() > 0.8 * n else np.flatnonzero(seen & ~read)
+                new = np.flatnonzero(seen & ~read)
             score[new] = self.rows[new] @ query
             read[new] = True
             at = np.flatnonzero(read & other)
@@ -55,7 +55,7 @@ class SortedLists:
                 bound = self.sorted[n - depth, up] @ query[up] + self.sorted[depth - 1, down] @ query[down]
                 if kth > bound:
                     break
-            depth *= 4
+            depth *= 2
         best = at[np.lexsort((self.ids[at], -score[at]))][:k]
         return self.ids[best], score[best]
 
@@ -66,15 +66,20 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float
     A component x counts as floor(scale * x), the score is the integer inner product, equal scores go by the smaller id, and
     a query with fewer than ``k`` candidates returns them all.  Vectors that are null or hold null, NaN or infinite
     components take no part; neither do null ids.  Shorter vectors count as filled up with zeros; an empty one scores 0.
+    A scaled component or a score beyond 64 bits raises an error.
     A query leaves out every row with its own id.  Repeated rows are rows of their own.  Other columns are ignored.
 
     Blocks of queries meet blocks of candidates, one task each, and pass on ``k`` rows a query.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
 
+    def scaled(x: Column) -> Column:
+        y = x.cast("double") * F.lit(float(scale))
+        return F.when(F.abs(y) < 2.0**63, F.floor(y)).otherwise(F.raise_error(F.lit("a scaled component is beyond 64 bits")).cast("long"))
+
     def whole(df: DataFrame) -> DataFrame:
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(finite("v") & F.col("id").isNotNull())
-        return rows.select("id", F.transform("v", lambda x: F.floor(x.cast("double") * F.lit(float(scale)))).alias("v"))
+        return rows.select("id", F.transform("v", scaled).alias("v"))
 
     rows, asked = whole(vectors), whole(queries)
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width"), F.coalesce(F.max(F.array_max(F.transform("v", F.abs))), F.lit(0)).alias("most")).first()
