@@ -181,3 +181,107 @@ def test_pipeline_keeps_clean_documents(spark):
     empty = docs.limit(0)
     for _, step in cp.STAGES:
         assert step(spark, empty, "").count() == 0
+
+
+def test_language_scores_equal_brute_force(spark):
+    """Every text's sum over words of log frequencies, by known words, else by the longest n-grams that are known."""
+    import math
+
+    import regex
+
+    from sieveyard.llm import language_id
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    extra = [(9001, "Zzyzx qqqqx ünbekannt", None), (9002, "", "en"), (9003, None, "en"), (9004, "...", "de"), (9005, "the " * 5000, None)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    model = language_id.fit(docs)
+    got = {r["doc_id"]: r for r in language_id.identify(docs, model, keep=["doc_id"]).collect()}
+    for r in docs.collect():
+        total = np.zeros(len(model.languages))
+        found = regex.findall(r"\p{L}+", (r["text"] or "").lower())
+        for word in found:
+            if word in model.tables[0]:
+                total += model.tables[0][word].astype(float)
+                continue
+            for n in (4, 3, 2, 1):
+                own = f"<{word}>" if n > 1 else word
+                grams = [model.tables[n][own[i : i + n]] for i in range(len(own) - n + 1) if own[i : i + n] in model.tables[n]]
+                if grams:
+                    total += np.sum(grams, axis=0).astype(float) / n
+                    break
+        if not found:
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["lang_score"]) == ("und", 0.0)
+            continue
+        best = int(total.argmax())
+        assert got[r["doc_id"]]["lang_pred"] == model.languages[best]
+        assert math.isclose(got[r["doc_id"]]["lang_score"], 1 / np.exp(np.maximum(total - total[best], -700)).sum(), rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    """Each stage with its production parameters on the smallest table and planted rows."""
+    import duckdb
+    import pyarrow as pa
+
+    import corpus_pipeline as cp
+    from sieveyard.llm import language_id, source_mix
+    from tests.llm.test_documents import jaccard_components, split
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [r["text"] for r in docs.where("length(text) > 900").orderBy("doc_id").limit(6).collect()]
+    words = [t.split() for t in texts]
+    planted = [
+        " ".join(words[0][:-2] + ["changed", "end"]), texts[1].upper(), " ".join(words[2][:60] + words[3][10:80] + words[4][:40]), " ".join(words[5][:49]), None, "", "12 34 ?!", "\n \t",
+        " ".join(words[3][10:70]), " ".join(words[4][:30] + words[0][5:64] + words[4][30:]),
+    ]
+    rows = [(10_000 + i, t, None if i % 2 else "en", None if i % 3 else "src1", len(t or "")) for i, t in enumerate(planted)]
+    kinds = {f.name: f.dataType for f in docs.schema}
+    added = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(added.select(*[added[c].cast(kinds[c]).alias(c) for c in docs.columns])).cache()
+    table = lambda df: [tuple(r) for r in df.select("doc_id", "text", "source").collect()]
+
+    kept = cp.identify_language(spark, docs, "").cache()
+    named = language_id.identify(docs, language_id.fit(docs), keep=["doc_id"]).where("lang_pred <> 'und' and lang_score >= 0.5")
+    assert {r[0] for r in table(kept)} == {r["doc_id"] for r in named.collect()}
+    assert not {10_004, 10_005, 10_006, 10_007} & {r[0] for r in table(kept)}
+
+    before = table(docs)
+    apart = cp.drop_near_duplicates(spark, docs, "").cache()
+    components = jaccard_components(before, 5)
+    assert {r[0] for r in table(apart)} == {d for d, (_, c) in components.items() if c == d} and len(table(apart)) < len(before)
+
+    cut = {d: t for d, t, _ in table(cp.drop_repeated_passages(spark, docs, ""))}
+    first, gone_in = {}, {}
+    for d, t, _ in sorted(before, key=lambda r: r[0]):
+        w = split(t)
+        for i in range(len(w) - 49):
+            first.setdefault(tuple(w[i : i + 50]), (d, i))
+    changed = 0
+    for d, t, _ in before:
+        w = split(t)
+        gone = [False] * len(w)
+        for i in range(len(w) - 49):
+            if first[tuple(w[i : i + 50])] != (d, i):
+                gone[i : i + 50] = [True] * 50
+        if any(gone):
+            changed += 1
+            left = b" ".join(x for x, g in zip(w, gone) if not g).decode()
+            assert cut.get(d, "") == left and (d in cut) == bool(left)
+        else:
+            assert cut[d] == t
+    assert changed
+
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in before], "source": [r[2] for r in before]}))
+    want = con.execute(source_mix.ORACLE.format(period=2048, block=16, minor=0.1)).fetchall()
+    assert {r[0] for r in table(cp.mix(spark, docs, ""))} == {r[0] for r in want if r[4]}
+
+    bins = {}
+    for r in cp.pack_sequences(spark, docs, "").collect():
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["doc_id"]))
+    assert {d for parts in bins.values() for _, _, d in parts} == {r[0] for r in before}
+    for parts in bins.values():
+        at = 0
+        for offset, length, _ in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
