@@ -3,7 +3,7 @@
 First pass: each partition sketches its windows' hashes by count-min, as counts of none, one and more, over as many
 cells as the number of windows asks for.  Sketches are sparse, cut into segments, and merge by segment.  Counts
 are never under the truth, so a window that occurs twice stands in cells that say "more" in every row.
-Second pass: only windows so estimated are grouped exactly, by 128 bits of two hashes, for the first place they start at; each
+Second pass: only windows so estimated are grouped exactly, by 96 bits of two hashes, for the first place they start at; each
 partition passes on a window once.  Each document then learns which of its windows are first, and loses the words
 of the others.
 """
@@ -105,7 +105,7 @@ def repeated(shared) -> Repeated:
 class Places:
     """Candidate windows with the first place of each: two hashes, id, word number."""
 
-    KINDS = ("u8", "u8", "i8", "i4")
+    KINDS = ("u8", "u4", "i8", "i4")
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, ...]] = []
@@ -217,7 +217,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                 on = again.test(h)
                 at, h = at[on], h[on]
                 doc = words.doc[at]
-                own.add(h, words.second(at, window), ids[texts_at][doc], (at - words.first[doc]).astype(np.int32))
+                own.add(h, words.second(at, window).astype(np.uint32), ids[texts_at][doc], (at - words.first[doc]).astype(np.int32))
             if own.size > FLUSH // 2:
                 yield from dealt(own)
         yield from dealt(own)
