@@ -34,14 +34,14 @@ class SortedLists:
         score = np.zeros(n, dtype=self.rows.dtype)
         read = np.zeros(n, dtype=bool)
         other = self.ids != own if own is not None else np.ones(n, dtype=bool)
-        depth = max(k, n // 128, 8)
+        last, depth = 0, max(k, n // 128, 8)
         while True:
             if depth >= n or not len(up) + len(down):
                 new = np.flatnonzero(~read)
             else:
-                seen = read.copy()
-                seen[self.order[n - depth :, up].ravel()] = True
-                seen[self.order[:depth, down].ravel()] = True
+                seen = np.zeros(n, dtype=bool)
+                seen[self.order[n - depth : n - last, up].ravel()] = True
+                seen[self.order[last:depth, down].ravel()] = True
                 new = np.flatnonzero(seen & ~read)
             score[new] = self.rows[new] @ query
             read[new] = True
@@ -55,7 +55,7 @@ class SortedLists:
                 bound = self.sorted[n - depth, up] @ query[up] + self.sorted[depth - 1, down] @ query[down]
                 if kth > bound:
                     break
-            depth *= 2
+            last, depth = depth, 2 * depth
         best = at[np.lexsort((self.ids[at], -score[at]))][:k]
         return self.ids[best], score[best]
 
