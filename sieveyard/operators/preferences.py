@@ -15,8 +15,13 @@ BLEED = (
 QUOTAS = (("roundtrip", 3300), ("bloat", 2200), ("bleed", 1500))
 
 
-def chosen_answers(convs: DataFrame, longer_than: int = 150) -> DataFrame:
-    """The first user turn followed by an assistant's answer of more than so many characters, for each conversation that has one."""
+def chosen_answers(convs: DataFrame, longer_than: int = 150, score: Column | None = None, least: float = 0.02) -> DataFrame:
+    """The first user turn followed by an assistant's answer of more than so many characters, for each conversation that has one.
+
+    With a ``score`` only conversations of at least ``least`` count; a null score is 0.
+    """
+    if score is not None:
+        convs = convs.where(F.coalesce(score, F.lit(0.0)) >= least)
     turns = F.col("turns")
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(turns) - 1, F.lit(1))), lambda i: F.struct(F.get(turns, i - 1).alias("u"), F.get(turns, i).alias("a")))
     good = F.filter(pairs, lambda p: (p["u"]["role"] == "user") & (p["a"]["role"] == "assistant") & (F.length(p["a"]["text"]) > longer_than))

@@ -70,6 +70,11 @@ def draft_terms(docs: DataFrame, pack: LanguagePack, top: int = 300, around: int
     return best.join(found, best["first_doc"] == found["doc_id"]).select("word", "n", "docs", "first_doc", F.substring("text", F.greatest(at - around, F.lit(1)), F.length("word") + 2 * around).alias("context"))
 
 
+def term_documents(docs: DataFrame, pack: LanguagePack) -> DataFrame:
+    """``term, docs``: in how many documents each approved term occurs, inside words too; terms that occur nowhere are left out."""
+    return docs.select(F.explode(terms_found("text", pack)).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
+
+
 def census(docs: DataFrame, pack: LanguagePack, tolerated: int = 2) -> DataFrame:
     """Documents by sub-rule, each rule for itself so that overlaps show, and the total that the screen rejects."""
     letters, mixed, lj, term = F.size(foreign_letters("text", pack)), F.size(mixed_words("text", pack)), F.size(digraphs("text", pack)), has_term("text", pack)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,10 +65,22 @@ def letter_census_en(spark, sf_dir):
     return screen.letter_census(table(spark, sf_dir, "documents"), ENGLISH)
 
 
-@query(rf"""with m as (select list_filter(regexp_extract_all(lower(text), '{W}'), lambda w: regexp_matches(w, '[a-z]') and regexp_matches(w, '[0-9]')) as m from documents)
+@query(rf"""with m as (select list_filter(regexp_extract_all(lower(text), '{W}'), lambda w: regexp_matches(w, '[a-z]') and regexp_matches(w, '[éèêçñóíäöüß]')) as m from documents)
 select word, count(*) as n from (select unnest(m) as word from m where len(m) > 2) group by word order by n desc, word limit 12""")
 def mixed_words_top12(spark, sf_dir):
-    return screen.top_mixed(table(spark, sf_dir, "documents"), ENGLISH)
+    """Of a pack for which letters with accents are the other script."""
+    return screen.top_mixed(table(spark, sf_dir, "documents"), replace(ENGLISH, other=FOREIGN))
+
+
+@query(" union all ".join(f"select '{t}' as term, count(*) as docs from documents where contains(lower(text), '{t}') having count(*) > 0" for t in ENGLISH.terms))
+def bleed_term_documents(spark, sf_dir):
+    return screen.term_documents(table(spark, sf_dir, "documents"), ENGLISH)
+
+
+@query("select doc_id, case when lang = 'en' then 32000.0::double else 3595.0::double end as most from documents")
+def perplexity_threshold_by_register(spark, sf_dir):
+    register = F.when(F.col("lang") == "en", "conversation").otherwise("prose")
+    return table(spark, sf_dir, "documents").select("doc_id", languages.perplexity_threshold(register).alias("most"))
 
 
 @query(rf"""with e as (select doc_id, unnest(list_filter(regexp_extract_all(lower(text), '{W}'), lambda w: regexp_matches(w, '{FOREIGN}'))) as word from documents),
@@ -272,7 +286,7 @@ def _sft(spark, sf_dir):
         own = v.join(rows.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
         return vectors.greedy_near_duplicates(own, threshold=0.2).where("not kept").select(F.col("vec_id").alias("doc_id"))
 
-    return screen.in_order(convs, [*_screens(spark, sf_dir, 2000.0), ("copy", copies)])
+    return screen.in_order(convs, [*_screens(spark, sf_dir, 32000.0), ("copy", copies)])
 
 
 @query()

@@ -30,20 +30,24 @@ def draw_sql(*parts: str) -> str:
 UNIT = """u as (select vec_id, label, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as u from embeddings)"""
 
 
-@query(f"""with recursive {UNIT}, e as (select a.vec_id as i, b.vec_id as j from u a join u b on b.vec_id < a.vec_id where list_dot_product(a.u, b.u) > 0.35),
+def greedy_sql(threshold: float) -> str:
+    return f"""with recursive {UNIT}, e as (select a.vec_id as i, b.vec_id as j from u a join u b on b.vec_id < a.vec_id where list_dot_product(a.u, b.u) > {threshold}),
 o as (select vec_id, row_number() over (order by vec_id) as r from u),
 g as (select 0::bigint as r, []::bigint[] as kept union all
   select o.r, case when exists (select 1 from e where e.i = o.vec_id and list_contains(g.kept, e.j)) then g.kept else list_append(g.kept, o.vec_id) end from g join o on o.r = g.r + 1),
 k as (select unnest(kept) as vec_id from g where r = (select max(r) from o))
-select vec_id, vec_id in (select vec_id from k) as kept from u""")
+select vec_id, vec_id in (select vec_id from k) as kept from u"""
+
+
+@query(greedy_sql(0.35))
 def neardup_greedy_t035(spark, sf_dir):
     return vectors.greedy_near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.35)
 
 
-@query("select vec_id, true as kept from embeddings")
-def neardup_greedy_t092(spark, sf_dir):
-    """At the usual threshold no vector of the tables goes; SQL states that."""
-    return vectors.greedy_near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.92)
+@query(greedy_sql(0.25))
+def neardup_greedy_t025(spark, sf_dir):
+    """At the usual threshold no vector of the tables goes, so lower ones stand in; planted copies are tested at 0.92."""
+    return vectors.greedy_near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.25)
 
 
 SCORES = f"""{UNIT}, m as (select label < 5 as good, pos, avg(x) as x from (select label, unnest(u) as x, unnest(range(1, len(u) + 1)) as pos from u) group by all),
@@ -114,6 +118,22 @@ CHOSEN = f"""{CONV}, i as (select conv_id, t, list_filter(range(1, len(t)), lamb
 x as (select conv_id, t[ix[1]].text as prompt, t[ix[1] + 1].text as chosen from i where len(ix) > 0)"""
 
 
+@query(f"""with {CHOSEN}, s as (select conv_id, prompt, chosen, (conv_id % 5) / 100.0 as score from x) select conv_id, md5(prompt) as prompt, md5(chosen) as chosen from s where score >= 0.02""")
+def chosen_pool_scored(spark, sf_dir):
+    convs = screen.conversations(table(spark, sf_dir, "conversations"))
+    out = preferences.chosen_answers(convs, score=F.col("conv_id") % 5 / 100.0)
+    return out.select("conv_id", F.md5(F.col("prompt").cast("binary")).alias("prompt"), F.md5(F.col("chosen").cast("binary")).alias("chosen"))
+
+
+@query("""select doc_id, doc_id % 4 <> 0 and doc_id % 4 <> 2 as passes from documents""")
+def code_gate(spark, sf_dir):
+    """Each text with a good block; every fourth has a second, broken one, and every fourth none at all."""
+    good, bad = "```python\nx = 1\n```\n", "```python\nx = = 1\n```\n"
+    kind = F.col("doc_id") % 4
+    answer = F.concat(F.coalesce("text", F.lit("")), F.when(kind == 0, F.lit("\n" + good + bad)).when(kind == 2, F.lit("")).otherwise(F.lit("\n" + good)))
+    return table(spark, sf_dir, "documents").select("doc_id", gates.code_block(answer, F.lit("python")).alias("passes"))
+
+
 def _chosen(spark, sf_dir):
     return preferences.chosen_answers(screen.conversations(table(spark, sf_dir, "conversations")))
 

@@ -56,9 +56,9 @@ def markdown_ids(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^## id (\S+)"), F.lit(1))).alias("id"))
 
 
-def matrix_index(spark: SparkSession, passages: str, vectors: str) -> DataFrame:
-    """Passages and their vectors by key."""
-    return spark.read.parquet(passages).join(spark.read.parquet(vectors), "passage_id")
+def matrix_index(spark: SparkSession, path: str) -> DataFrame:
+    """Passages and their vectors, as the sink of that name writes them."""
+    return spark.read.parquet(path)
 
 
 def topics(path: str) -> dict[str, dict]:

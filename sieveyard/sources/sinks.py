@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def matrix_index(passages: DataFrame, vectors: DataFrame, path: str, key: str = "passage_id") -> None:
+    """Passages and their vectors as one table in order of key, so that a reader finds a passage by the files' ranges.
+
+    Passages without a vector and vectors without a passage are left out.
+    """
+    passages.join(vectors, key).repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+
+
 def jsonl(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     rows.write.mode(mode).json(path)
 

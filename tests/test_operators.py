@@ -290,3 +290,9 @@ def test_one_cap_for_the_job(spark):
     answered = teachers.generate(prompts, make, tasks=4, already=1000).where("reply is not null").count()
     each = len("prompt 1 of some words".split()) + len(teachers.offline("x").split())
     assert 0 < answered <= 4 * (250 // each + 1)
+
+
+def test_index_is_written_and_read(spark, tmp_path):
+    passages = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "passage_id long, passage string")
+    sinks.matrix_index(passages, spark.createDataFrame([(1, [1.0]), (3, [3.0]), (9, [9.0])], "passage_id long, embedding array<double>"), str(tmp_path / "index"))
+    assert [(r["passage_id"], r["passage"], r["embedding"]) for r in readers.matrix_index(spark, str(tmp_path / "index")).orderBy("passage_id").collect()] == [(1, "a", [1.0]), (3, "c", [3.0])]
