@@ -90,6 +90,13 @@ def bleed_draft_top300(spark, sf_dir):
     return screen.draft_terms(table(spark, sf_dir, "documents"), ENGLISH)
 
 
+def _languages(spark, sf_dir):
+    """Of all documents: trigrams are counted once, for the profile and for the scores."""
+    docs = table(spark, sf_dir, "documents")
+    counts = stage(languages.trigram_counts(docs, "doc_id", "lang"), "trigrams")
+    return languages.language_confidence(docs, languages.language_profile(docs, counts=counts), counts=counts)
+
+
 @query(rf"""with clean as (select doc_id, lang, regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g') as c from documents),
 g as (select doc_id, lang, unnest(list_transform(range(1, length(c) - 1), lambda i: substr(c, i, 3))) as gram from clean where length(c) >= 3),
 n as (select lang, gram, count(*) as n from g where lang is not null group by all),
@@ -100,15 +107,12 @@ s as (select doc_id, p.lang, sum(c.n * weight) / sum(c.n) as mean from (select d
 b as (select doc_id, max(mean) as top, arg_max(lang, mean) as label from s group by doc_id)
 select s.doc_id, label, round(1 / sum(exp(50 * (mean - top))), 6) as conf from s join b using (doc_id) group by s.doc_id, label""")
 def trigram_language(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    scored = languages.language_confidence(docs, languages.language_profile(docs))
-    return scored.select("doc_id", "label", F.round("conf", 6).alias("conf"))
+    return _languages(spark, sf_dir).select("doc_id", "label", F.round("conf", 6).alias("conf"))
 
 
 @query(ORACLES["trigram_language"].replace("select s.doc_id, label, round(1 / sum(exp(50 * (mean - top))), 6) as conf from s", "select s.doc_id from s") + " having label = 'en' and 1 / sum(exp(50 * (mean - top))) > 0.65")
 def language_filter_en(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return languages.language_filter(languages.language_confidence(docs, languages.language_profile(docs)), "en", 0.65).select("doc_id")
+    return languages.language_filter(_languages(spark, sf_dir), "en", 0.65).select("doc_id")
 
 
 PAIRS = r"""w as (select doc_id, list_concat(['<s>'], list_concat(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '([^\p{L}\p{N}\s])', ' \1 ', 'g'), '[\s\p{Z}]+', ' ', 'g')), ' '), lambda x: x <> ''), ['</s>'])) as w from documents where text is not null),
@@ -211,17 +215,19 @@ j as (select doc_id, case when doc_id not in (select doc_id from l) then 'langua
   when doc_id in (select doc_id from k) then 'leak' end as reason from ({HITS}))"""
 
 
-def _screens(spark, sf_dir, most):
-    """The four stages for rows of ``doc_id`` and ``text``; the models come from all documents."""
+def _screens(spark, sf_dir, most, own):
+    """The four stages for rows of ``doc_id`` and ``text``; the models come from all documents.  ``own``: the rows are documents, whose counts are at hand."""
     docs = table(spark, sf_dir, "documents")
     learnt = docs.where(F.col("text").isNotNull())
 
     def language(rows):
-        scored = languages.language_confidence(rows, languages.language_profile(docs))
+        scored = _languages(spark, sf_dir) if own else languages.language_confidence(rows, languages.language_profile(docs))
         return rows.join(languages.language_filter(scored, "en", 0.65).select("doc_id"), "doc_id", "left_anti")
 
     def perplexity(rows):
-        scored = languages.perplexity(rows, languages.perplexity_model(learnt))
+        pairs = stage(languages.word_pairs(learnt), "pairs")
+        asked = pairs.join(rows.select("doc_id"), "doc_id", "left_semi") if own else None
+        scored = languages.perplexity(rows, languages.perplexity_model(learnt, pairs=pairs), pairs=asked)
         return rows.join(languages.perplexity_filter(scored, most).select("doc_id"), "doc_id", "left_anti")
 
     return [
@@ -233,7 +239,7 @@ def _screens(spark, sf_dir, most):
 
 
 def _judged(spark, sf_dir):
-    return screen.in_order(table(spark, sf_dir, "documents").select("doc_id", "text"), _screens(spark, sf_dir, 300.0))
+    return screen.in_order(table(spark, sf_dir, "documents").select("doc_id", "text"), _screens(spark, sf_dir, 300.0, own=True))
 
 
 @query(FUNNEL + " select doc_id, reason from j")
@@ -286,7 +292,7 @@ def _sft(spark, sf_dir):
         own = v.join(rows.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
         return vectors.greedy_near_duplicates(own, threshold=0.2).where("not kept").select(F.col("vec_id").alias("doc_id"))
 
-    return screen.in_order(convs, [*_screens(spark, sf_dir, 32000.0), ("copy", copies)])
+    return screen.in_order(convs, [*_screens(spark, sf_dir, 32000.0, own=False), ("copy", copies)])
 
 
 @query()
