@@ -297,7 +297,7 @@ def _sft(spark, sf_dir):
 
 @query()
 def sft_screen(spark, sf_dir):
-    """Rows only: the tables' conversations are few; a test holds the stages and their order on planted ones."""
+    """Rows only: no SQL for it.  The stages' models have theirs in the queries over documents; a test holds the order of stages."""
     return _sft(spark, sf_dir).select(F.col("doc_id").alias("conv_id"), "reason")
 
 
