@@ -115,7 +115,8 @@ def language_filter_en(spark, sf_dir):
     return languages.language_filter(_languages(spark, sf_dir), "en", 0.65).select("doc_id")
 
 
-PAIRS = r"""w as (select doc_id, list_concat(['<s>'], list_concat(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '([^\p{L}\p{N}\s])', ' \1 ', 'g'), '[\s\p{Z}]+', ' ', 'g')), ' '), lambda x: x <> ''), ['</s>'])) as w from documents where text is not null),
+NORMAL_WORDS = r"""list_concat(['<s>'], list_concat(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '([^\p{L}\p{N}\s])', ' \1 ', 'g'), '[\s\p{Z}]+', ' ', 'g')), ' '), lambda x: x <> ''), ['</s>']))"""
+PAIRS = f"""w as (select doc_id, {NORMAL_WORDS} as w from documents where text is not null),
 p as (select doc_id, w1, w2, count(*) as n from (select doc_id, w[i] as w1, w[i + 1] as w2 from (select doc_id, w, unnest(range(1, len(w))) as i from w)) group by all),
 h as (select doc_id, ('0x' || substr(md5(cast(doc_id as varchar)), 1, 8))::bigint % 50 = 0 as held_out from documents),
 c as (select w1, w2, sum(n) as n from p join h using (doc_id) where not held_out group by all),
@@ -127,27 +128,48 @@ s as (select p.doc_id, sum(p.n * coalesce(m.logp, log10(coalesce(0.75 * b.kinds
   from p left join m on m.w1 = p.w1 and m.w2 = p.w2 left join b on b.w1 = p.w1 left join pc on pc.w2 = p.w2 group by p.doc_id)"""
 
 
-def _perplexities(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    pairs = stage(languages.word_pairs(docs), "pairs")
-    return languages.perplexity(docs, languages.perplexity_model(docs, pairs=pairs), pairs=pairs)
+def grams_sql(order: int) -> str:
+    """Interpolated Kneser-Ney by lists: the probability of each kind of gram, from its last word outwards."""
+    levels, steps = [f"t{order} as (select g, n from seen where len(g) = {order})"], []
+    for k in range(order - 1, 0, -1):
+        levels.append(f"t{k} as (select g, n from seen where len(g) = {k} union all select g[2:] as g, count(*) as n from t{k + 1} group by 1)")
+    for k in range(2, order + 1):
+        levels.append(f"x{k} as (select g[:{k - 1}] as x, sum(n) as total, count(*) as kinds from t{k} group by 1)")
+        steps.append(f"""s{k} as (select s.g, case when len(s.g) < {k} or total is null then p else greatest(coalesce(n, 0) - 0.75, 0) / total + 0.75 * kinds / total * p end as p
+  from (select *, case when len(g) >= {k} then g[-{k}:] end as tail from s{k - 1}) s left join t{k} on t{k}.g = tail left join x{k} on x = tail[:{k - 1}])""")
+    return f"""forms as (select doc_id, ('0x' || substr(md5(cast(doc_id as varchar)), 1, 8))::bigint % 50 = 0 as held_out, {NORMAL_WORDS} as w from documents where text is not null),
+e as (select doc_id, held_out, unnest(list_transform(range(2, len(w) + 1), lambda i: w[greatest(i - {order - 1}, 1):i])) as g from forms),
+seen as (select g, count(*) as n from e where not held_out group by g), {', '.join(levels)},
+pc as (select g, (n + 0.5) / ((select sum(n) from t1) + 0.5 * ((select count(*) from t1) + 1)) as p from t1),
+s1 as (select a.g, coalesce(pc.p, (select min(p) from pc) / 2) as p from (select distinct g from e) a left join pc on pc.g = a.g[-1:]), {', '.join(steps)},
+v as (select doc_id, held_out, pow(10, -sum(log10(p)) / greatest(count(*) - 1, 1)) as ppl from e join s{order} using (g) group by all)"""
+
+
+def _perplexities(spark, sf_dir, order):
+    forms = stage(languages.normal_forms(table(spark, sf_dir, "documents")), "forms")
+    return languages.perplexity(forms, languages.perplexity_model(forms, order), order)
+
+
+@query(f"with {grams_sql(5)} select doc_id, round(ppl, 4) as ppl, held_out from v")
+def kneser_ney_perplexity_5(spark, sf_dir):
+    return _perplexities(spark, sf_dir, 5).select("doc_id", F.round("ppl", 4).alias("ppl"), "held_out")
 
 
 @query(f"with {PAIRS} select doc_id, round(pow(10, -score / greatest(words, 1)), 4) as ppl, held_out from s join h using (doc_id)")
 def kneser_ney_perplexity(spark, sf_dir):
-    return _perplexities(spark, sf_dir).select("doc_id", F.round("ppl", 4).alias("ppl"), "held_out")
+    return _perplexities(spark, sf_dir, 2).select("doc_id", F.round("ppl", 4).alias("ppl"), "held_out")
 
 
 @query(f"with {PAIRS}, v as (select list_sort(list(pow(10, -score / greatest(words, 1)))) as v from s join h using (doc_id) where held_out) select p, round(v[1 + least(len(v) - 1, len(v) * p // 100)], 4) as ppl from v, (values (50), (75), (90), (95), (99)) t(p)")
 def perplexity_thresholds(spark, sf_dir):
-    held = _perplexities(spark, sf_dir).where("held_out")
+    held = _perplexities(spark, sf_dir, 2).where("held_out")
     return languages.nearest_rank(held, "ppl", [50, 75, 90, 95, 99]).select("p", F.round("value", 4).alias("ppl"))
 
 
 @query(f"with {PAIRS} select doc_id from s where pow(10, -score / greatest(words, 1)) <= 300")
 def perplexity_filter_300(spark, sf_dir):
     """The threshold fits the tables' model; people choose it from the hold-out's percentiles."""
-    return languages.perplexity_filter(_perplexities(spark, sf_dir), 300.0).select("doc_id")
+    return languages.perplexity_filter(_perplexities(spark, sf_dir, 2), 300.0).select("doc_id")
 
 
 @query("with v as (select list_sort(list(n_chars)) as v from documents) select p, v[1 + least(len(v) - 1, len(v) * p // 100)] as n_chars from v, (values (50), (75), (90), (95), (99)) t(p)")
@@ -225,9 +247,9 @@ def _screens(spark, sf_dir, most, own):
         return rows.join(languages.language_filter(scored, "en", 0.65).select("doc_id"), "doc_id", "left_anti")
 
     def perplexity(rows):
-        pairs = stage(languages.word_pairs(learnt), "pairs")
-        asked = pairs.join(rows.select("doc_id"), "doc_id", "left_semi") if own else None
-        scored = languages.perplexity(rows, languages.perplexity_model(learnt, pairs=pairs), pairs=asked)
+        forms = stage(languages.normal_forms(learnt), "forms")
+        asked = forms.join(rows.select("doc_id"), "doc_id", "left_semi") if own else languages.normal_forms(rows)
+        scored = languages.perplexity(asked, languages.perplexity_model(forms, order=2), order=2)
         return rows.join(languages.perplexity_filter(scored, most).select("doc_id"), "doc_id", "left_anti")
 
     return [

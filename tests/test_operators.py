@@ -296,3 +296,19 @@ def test_index_is_written_and_read(spark, tmp_path):
     passages = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "passage_id long, passage string")
     sinks.matrix_index(passages, spark.createDataFrame([(1, [1.0]), (3, [3.0]), (9, [9.0])], "passage_id long, embedding array<double>"), str(tmp_path / "index"))
     assert [(r["passage_id"], r["passage"], r["embedding"]) for r in readers.matrix_index(spark, str(tmp_path / "index")).orderBy("passage_id").collect()] == [(1, "a", [1.0]), (3, "c", [3.0])]
+
+
+def test_five_word_model_with_nulls_empty_and_unknown_words(spark):
+    from sieveyard.operators import languages
+
+    texts = [(i, "a b c d e f") for i in range(1, 9)] + [(9, None), (10, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = languages.perplexity_model(languages.normal_forms(docs), order=5, held_out_every=10**9)
+    asked = spark.createDataFrame([(1, "a b c d e f"), (2, "f e d c b a"), (3, "x y"), (4, ""), (5, None)], "doc_id long, text string")
+    ppl = {r.doc_id: r.ppl for r in languages.perplexity(languages.normal_forms(asked), model, order=5).collect()}
+    assert set(ppl) == {1, 2, 3, 4} and ppl[1] < ppl[2] < ppl[3]
+
+    none = docs.where("doc_id < 0")
+    empty = languages.perplexity_model(languages.normal_forms(none), order=3)
+    assert all(r.ppl is None for r in languages.perplexity(languages.normal_forms(asked), empty, order=3).collect())
+    assert languages.perplexity(languages.normal_forms(none), model, order=5).count() == 0
