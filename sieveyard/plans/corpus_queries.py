@@ -128,7 +128,7 @@ s as (select p.doc_id, sum(p.n * coalesce(m.logp, log10(coalesce(0.75 * b.kinds
   from p left join m on m.w1 = p.w1 and m.w2 = p.w2 left join b on b.w1 = p.w1 left join pc on pc.w2 = p.w2 group by p.doc_id)"""
 
 
-def grams_sql(order: int) -> str:
+def kneser_ney_sql(order: int) -> str:
     """Interpolated Kneser-Ney by lists: the probability of each kind of gram, from its last word outwards."""
     levels, steps = [f"t{order} as (select g, n from seen where len(g) = {order})"], []
     for k in range(order - 1, 0, -1):
@@ -150,7 +150,7 @@ def _perplexities(spark, sf_dir, order):
     return languages.perplexity(forms, languages.perplexity_model(forms, order), order)
 
 
-@query(f"with {grams_sql(5)} select doc_id, round(ppl, 4) as ppl, held_out from v")
+@query(f"with {kneser_ney_sql(5)} select doc_id, round(ppl, 4) as ppl, held_out from v")
 def kneser_ney_perplexity_5(spark, sf_dir):
     return _perplexities(spark, sf_dir, 5).select("doc_id", F.round("ppl", 4).alias("ppl"), "held_out")
 
@@ -229,6 +229,13 @@ def prompt_grams_raw_n8(spark, sf_dir):
     return decontaminate.raw_grams(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=8)
 
 
+@query(ORACLES["decontaminate_corpus_n8"].replace("from benchmark)", "from (select text from benchmark union all select text from conversations where role = 'user'))"))
+def decontaminate_extra_n8(spark, sf_dir):
+    """What users asked joins the evaluation items as an extra source."""
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select("text")
+    return decontaminate.corpus_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("text").unionByName(asked), n=8)
+
+
 # funnels: language, bleed, perplexity, leaks, in this order, each over what the one before has kept
 
 STAGES = ("language", "bleed", "perplexity", "leak")

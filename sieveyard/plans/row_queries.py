@@ -454,6 +454,64 @@ def choice_prompts(spark, sf_dir):
     return b.select("item_id", evaluation.choice_prompt(F.col("text"), F.slice(F.split("text", " "), 1, 4), "Question: ", "\nAnswer:").alias("prompt"))
 
 
+@query(rf"""with {CHOSEN}, g as (select conv_id, prompt, chosen, conv_id % 7 - 1 as answer, string_split(prompt, ' ')[1:3 + conv_id % 2] as choices, case when conv_id % 3 = 0 then 'nicht ' else '' end as inside from x)
+select conv_id, {clean_sql('chosen')} as prose, case when inside = '' then {clean_sql('chosen')} else {clean_sql("'nicht '")} end as prose_marked, len(choices) = 4 and answer between 0 and 3 as choice_shape,
+contains(replace(chosen, ',', '.'), cast(conv_id % 30 as varchar)) as answer_present from g""")
+def generated_row_gates(spark, sf_dir):
+    """Every third answer also has a foreign word: within a fence, where it does not count, and before the text, where it does."""
+    a, word = F.col("chosen"), F.when(F.col("conv_id") % 3 == 0, "nicht ").otherwise("")
+    fenced = F.concat(a, F.lit("\n```python\n# "), word, F.lit("\n```"))
+    choices = F.slice(F.split("prompt", " "), F.lit(1), (F.lit(3) + F.col("conv_id") % 2).cast("int"))
+    return _chosen(spark, sf_dir).select(
+        "conv_id", gates.clean_language(fenced, ENGLISH, code=True).alias("prose"), gates.clean_language(F.concat(word, a), ENGLISH).alias("prose_marked"),
+        gates.choice_shape(choices, F.col("conv_id") % 7 - 1).alias("choice_shape"), gates.answer_present(a, (F.col("conv_id") % 30).cast("string")).alias("answer_present"),
+    )
+
+
+@query(f"""with w as (select doc_id, string_split(text, ' ')[1:6 + doc_id % 7] as v from documents where text is not null), k as (select doc_id, len(v) as n, array_to_string(v[1:10], ' ') as kept from w)
+select doc_id, n >= 8 and {clean_sql('kept')} as ok, md5(kept) as kept from k""")
+def paraphrase_packs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    ok, kept = gates.paraphrases(F.slice(F.split("text", " "), F.lit(1), (F.lit(6) + F.col("doc_id") % 7).cast("int")), ENGLISH)
+    return docs.select("doc_id", ok.alias("ok"), F.md5(F.array_join(kept, " ").cast("binary")).alias("kept"))
+
+
+@query("""with r as (select item_id, item_id % 3 as k, regexp_replace(text, '[{}`<>]', ' ', 'g') as t from benchmark)
+select item_id, case when k > 0 then '{"id": ' || item_id || ', "of": {"k": ' || k || '}}' end as json, md5(trim(t)) as answer,
+case when item_id % 8 = 0 then cast(item_id // 8 as varchar) else regexp_replace(printf('%.2f', item_id / 8 + 0.001), '0$', '') end as number from r""")
+def reply_fields(spark, sf_dir):
+    """Replies made of the items: JSON with or without fences, thoughts before and a turn's end behind the answer, eighths as numbers."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 3).alias("k"), F.regexp_replace("text", "[{}`<>]", " ").alias("t"))
+    body = F.concat(F.lit('{"id": '), F.col("item_id").cast("string"), F.lit(', "of": {"k": '), F.col("k").cast("string"), F.lit("}}"))
+    reply = F.concat("t", F.when(F.col("k") == 0, "").when(F.col("k") == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit(" so "), body, F.lit("."))), F.lit(" end"))
+    answer = F.concat(F.lit("<think>why</think> "), "t", F.lit(" <end_of_turn> user again"))
+    number = F.when(F.col("item_id") % 8 == 0, F.col("item_id") / 8).otherwise(F.col("item_id") / 8 + 0.001)
+    return b.select("item_id", T.json_object(reply).alias("json"), F.md5(T.clean_answer(answer).cast("binary")).alias("answer"), T.number_text(number).alias("number"))
+
+
+@query("""with i as (select item_id, trim(text) as question, list_filter(string_split(text, ' ')[1:4], lambda x: x <> '' and length(x) <> 5) as choices, item_id % 5 as gold from benchmark)
+select item_id, question, array_to_string(choices, '|') as choices, cast(gold as int) as gold, gold < len(choices) as ok from i""")
+def include_items(spark, sf_dir):
+    """Options of five letters are blanked; answers come as number or letter by turns."""
+    b, w = table(spark, sf_dir, "benchmark"), F.split("text", " ")
+    options = [F.when(F.length(F.get(w, F.lit(i))) == 5, "").otherwise(F.get(w, F.lit(i))) for i in range(4)]
+    place = (F.col("item_id") % 5).cast("int")
+    answer = F.when(F.col("item_id") % 2 == 0, place.cast("string")).otherwise(F.lower(F.char(place + 65)))
+    item, ok = evaluation.include_item(F.col("text"), options, answer, letters="ABCDE")
+    return b.select("item_id", item["question"].alias("question"), F.array_join(item["choices"], "|").alias("choices"), item["gold"].alias("gold"), ok.alias("ok"))
+
+
+@query("""with v as (select item_id, string_split(text, ' ')[1:3] as claims, string_split(text, ' ')[1:3 - (item_id % 4 = 1)::int] as judged from benchmark)
+select item_id, case when item_id % 4 <> 0 then len(judged) = len(claims) and len(list_filter(judged, lambda x: length(x) < 2)) = 0 and item_id % 6 <> 5 end as vote from v""")
+def entailment_votes(spark, sf_dir):
+    """A claim for each of three words, supported if it has two letters; every fourth panel is silent, another is short of a verdict."""
+    b = table(spark, sf_dir, "benchmark")
+    claims = F.slice(F.split("text", " "), 1, 3)
+    judged = F.slice(F.split("text", " "), F.lit(1), F.when(F.col("item_id") % 4 == 1, 2).otherwise(3))
+    verdicts = F.when(F.col("item_id") % 4 != 0, F.transform(judged, lambda w: F.length(w) >= 2))
+    return b.select("item_id", juries.entails(verdicts, claims, F.col("item_id") % 6 != 5).alias("vote"))
+
+
 @query()
 def math_problems_1000(spark, sf_dir):
     return problems.problems(spark, 1000)
