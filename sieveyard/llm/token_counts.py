@@ -3,7 +3,8 @@
 For a byte-level BPE the encoding of every prefix ends in exactly one token, and that token is the
 one whose pair with the last token of the shorter prefix is stable under the merges.  So one pass
 gives, for each prefix of a piece, its exact token count; a text's prefix counts are running sums over
-its pieces.  ``PrefixCounts`` answers "how many tokens has this prefix" and "how far does this budget
+its pieces.  Where only a piece's own count is asked for, the recurrence starts at its end and works out the
+prefixes that it meets, once for all pieces that share them.  ``PrefixCounts`` answers "how many tokens has this prefix" and "how far does this budget
 reach" from those sums, without encoding again.
 """
 
@@ -20,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveyard.llm.worker_cache import held
+
 #: Fixed value: the piece pattern of the byte-level vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of characters of which Python's own classes say what the pattern's say, at twice the speed.
@@ -39,6 +42,8 @@ def byte_letters() -> dict[str, int]:
 LONGEST_KEPT = 64
 #: A space beside other white space.  Without any, each space starts a piece, so that stretches between spaces are counted one by one.
 BESIDE = re.compile(r" \s|\s ")
+#: Marks that are a piece of their own at the end of a stretch of letters.
+MARKS = frozenset(".,;:!?")
 
 
 class Spaced(dict):
@@ -49,11 +54,17 @@ class Spaced(dict):
         self.counter = counter
 
     def __missing__(self, stretch: str) -> int:
-        if len(self) > self.counter.most:
-            self.clear()
-        text = " " + stretch
-        n = sum(map(self.counter.__getitem__, self.counter.pattern(text).findall(text)))
+        counter = self.counter
+        if stretch.isalpha() and not counter.outside.search(stretch):  # one piece, kept here only
+            n = counter.whole_count(" " + stretch)
+        elif stretch[-1:] in MARKS and stretch[:-1].isalpha() and not counter.outside.search(stretch):
+            n = self[stretch[:-1]] + counter[stretch[-1]]
+        else:
+            text = " " + stretch
+            n = sum(map(counter.__getitem__, counter.pattern(text).findall(text)))
         if len(stretch) <= LONGEST_KEPT:
+            if len(self) > counter.most:
+                self.clear()
             self[stretch] = n
         return n
 
@@ -79,15 +90,19 @@ class PrefixCounter(dict):
             self.parts.append((self.vocab[a], self.vocab[b]))
             self.made[self.parts[-1]] = self.vocab[a + b] = i
         self.longest: dict[bytes, int] = {}  # by a token's last three bytes
+        sizes: dict[bytes, set[int]] = {}
         for token in self.vocab:
             if len(token) > 2:
                 self.longest[token[-3:]] = max(len(token), self.longest.get(token[-3:], 0))
+                sizes.setdefault(token[-3:], {1, 2}).add(len(token))
+        self.sizes = {end: sorted(n, reverse=True) for end, n in sizes.items()}  # the sizes there are, by the same
         self.split = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.pieces = regex.compile(PIECES)
         self.quick = re.compile(QUICK)
         self.outside = re.compile(OUTSIDE)
         self.white = regex.compile(r"\s+")
         self.spaced: dict[str, int] = Spaced(self)
+        self.ends: dict[bytes, int] = {}  # shared by all pieces, so that no prefix is worked out twice
         self.stable: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.most = most
@@ -148,10 +163,49 @@ class PrefixCounter(dict):
                 raise ValueError(f"no token ends the prefix {data[:i]!r}")
         return count
 
+    def ended(self, data: bytes) -> int:
+        """Last token (upper bits) and token count (lower 20) of ``data``, by those of the shorter prefixes that this takes and no others."""
+        size, token_of, stable, ends = len(data), self.vocab.get, self.stable, self.ends
+        for n in self.sizes.get(data[-3:], (2, 1)):
+            if n < size:
+                token = token_of(data[-n:])
+                if token is None:
+                    continue
+                before = data[:-n]
+                past = ends.get(before)
+                if past is None:
+                    past = self.ended(before)
+                key = past >> 20 << 20 | token
+                ok = stable.get(key)
+                if ok is None:
+                    if len(stable) > self.most:
+                        stable.clear()
+                    ok = stable[key] = self.itself(token) and self.apart(past >> 20, token)
+                if ok:
+                    out = token << 20 | (past & 0xFFFFF) + 1
+                    break
+            elif n == size:
+                token = token_of(data)
+                if token is not None and self.itself(token):
+                    out = token << 20 | 1
+                    break
+        else:
+            raise ValueError(f"no token ends the prefix {data!r}")
+        if len(ends) > self.most:
+            ends.clear()
+        ends[data] = out
+        return out
+
+    def whole_count(self, piece: str) -> int:
+        """The piece's own token count: the same recurrence as ``prefixes``, from its end."""
+        if len(piece) > LONGEST_KEPT:
+            return self.prefixes(piece)[-1]
+        return self.ended(piece.encode()) & 0xFFFFF
+
     def __missing__(self, piece: str) -> int:
         if len(self) > self.most:
             self.clear()
-        n = self.prefixes(piece)[-1]
+        n = self.whole_count(piece)
         if len(piece) <= LONGEST_KEPT:
             self[piece] = n
         return n
@@ -178,6 +232,29 @@ class PrefixCounter(dict):
             return n + sum(map(self.spaced.__getitem__, rest.split(" "))) if _ else n
         return sum(1 if special else sum(map(self.__getitem__, find(text[a:b]))) for a, b, special in self.segments(text))
 
+    def count_and_reach(self, text: str, budget: int) -> tuple[int, int]:
+        """``count`` and the most code points whose tokens stay within ``budget``.
+
+        Where spaces part the text, only the stretch in which the budget ends is looked into.
+        """
+        if any(s in text for s in self.special) or BESIDE.search(text):
+            n = self.count(text)
+            return n, len(text) if n <= budget else PrefixCounts(self, text, budget).reach(budget)
+        first, *rest = text.split(" ")
+        counts = [sum(map(self.__getitem__, self.pattern(first).findall(first))), *map(self.spaced.__getitem__, rest)]
+        n = sum(counts)
+        if n <= budget:
+            return n, len(text)
+        left = budget
+        for k, c in enumerate(counts):
+            if c > left:
+                break
+            left -= c
+        if not k:
+            return n, PrefixCounts(self, first, left).reach(left)
+        at = len(first) + sum(map(len, rest[: k - 1])) + k - 1
+        return n, at + PrefixCounts(self, " " + rest[k - 1], left).reach(left)
+
 
 class PrefixCounts:
     """Exact token counts of every prefix of one text.
@@ -295,15 +372,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     """
 
     def run(batches):
-        counter = PrefixCounter(path)
+        counter = held(("token counts", path), lambda: PrefixCounter(path))
         for batch in batches:
             tokens, reach, size = [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
                 size.append(len(text.encode()))
-                n = counter.count(text)
+                n, fit = counter.count_and_reach(text, limit)
                 tokens.append(n)
-                reach.append(len(text) if n <= limit else PrefixCounts(counter, text, limit).reach(limit))
+                reach.append(fit)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(reach, pa.int64())],
                 names=["id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],

@@ -90,6 +90,35 @@ def test_one_word_of_a_million_letters():
     assert counts.total() == len(Tokenizer.from_file(BYTE_BPE).encode(text, add_special_tokens=False).ids)
 
 
+def test_new_words_take_few_lookups():
+    counter = token_counts.PrefixCounter(BYTE_BPE)
+
+    class Looked(dict):
+        times = 0
+
+        def get(self, *key):
+            Looked.times += 1
+            return super().get(*key)
+
+    counter.vocab = Looked(counter.vocab)
+    rng = np.random.default_rng(3)
+    parts = ["th", "er", "on", "an", "tion", "ing", "ble", "ou"]
+    text = " ".join("".join(parts[i] for i in rng.integers(0, len(parts), 2 + k % 5)) for k in range(2000))
+    assert counter.count(text) == len(Tokenizer.from_file(BYTE_BPE).encode(text, add_special_tokens=False).ids)
+    assert Looked.times < 2 * len(text)  # 3.5 a byte where each prefix of each word is worked out anew
+
+
+def test_count_and_reach_equal_the_library():
+    tk, counter = Tokenizer.from_file(BYTE_BPE), token_counts.PrefixCounter(BYTE_BPE)
+    rng = np.random.default_rng(21)
+    parts = ["a", "word", "inthhalyor", " ", " ", " ", "  ", "\n", ".", ",", "'re", "??", "<|endoftext|>", "é", "Ωμέγα", "你", "12", "²", "\x1c"]
+    mixed = ["".join(parts[i] for i in rng.integers(0, len(parts), 12)) for _ in range(120)]
+    for text in ("", " ", "one", "a. b, c! d", "word" * 100 + " " + "ab" * 40 + ".", " lead and trail ", *mixed):
+        n = [len(tk.encode(text[:p], add_special_tokens=False).ids) for p in range(len(text) + 1)]
+        for budget in range(0, n[-1] + 2, 1 + n[-1] // 12):
+            assert counter.count_and_reach(text, budget) == (n[-1], max(p for p, k in enumerate(n) if k <= budget)), (text, budget)
+
+
 def test_pack_places_every_piece_without_gaps(docs, none):
     tk = Tokenizer.from_file(WORD_BPE)
     got = packing.pack(docs, WORD_BPE, capacity=64).collect()
