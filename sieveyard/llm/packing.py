@@ -10,7 +10,6 @@ on at most ``capacity`` lengths, however many documents there are; the documents
 from __future__ import annotations
 
 import bisect
-import json
 import os
 import re
 import zlib
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveyard.llm.staging import stage
+from sieveyard.llm.token_counts import byte_letters
 from sieveyard.llm.worker_cache import release
 
 #: Fixed value: the word pattern of the vocabulary with word ends.
@@ -33,15 +33,19 @@ QUICK = r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 OUTSIDE = "[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ňŊ-ɏ‐-‧‰-⁞€]"
 
 
+#: Marks that are a word of their own at the end of a stretch of letters.
+MARKS = frozenset(".,;:!?")
+
+
 class WordIds(dict):
     """A bounded cache: a stretch without white space -> its ids as little-endian unsigned 32-bit integers.
 
-    No word of the pattern holds white space, so stretches are encoded one by one; their words have a cache of their own.
+    No word of the pattern holds white space, so stretches are encoded one by one.  A word is a stretch too, with itself as its only word,
+    so that words are kept beside the stretches.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
         super().__init__()
-        self.of_word: dict[str, bytes] = {}
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -49,25 +53,35 @@ class WordIds(dict):
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.quick, self.words, self.outside = re.compile(QUICK), regex.compile(WORDS), re.compile(OUTSIDE)
         self.control = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the pattern
-        fast = json.loads(self.tokenizer.to_str())  # words come lower-cased and cut, so they go to the merges at once
-        fast |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
-        self.merges = Tokenizer.from_str(json.dumps(fast))
+        self.merge = self.tokenizer.model.tokenize  # words come lower-cased and cut, so they go to the merges at once
+        self.letters = str.maketrans({chr(b): c for c, b in byte_letters().items()})
+        self.packed = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, stretch: str) -> bytes:
-        if len(self) > self.most:
-            self.clear()
-        found = (self.words if self.outside.search(stretch) else self.quick).findall(stretch)
-        out = self[stretch] = b"".join([self.of_word.get(w) or self.learn(w) for w in found])
-        return out
+        if self.outside.search(stretch):
+            found = self.words.findall(stretch)
+        elif stretch.isalpha():
+            return self.learn(stretch)
+        elif stretch[-1] in MARKS and stretch[:-1].isalpha():
+            found = stretch[:-1], stretch[-1]
+        else:
+            found = self.quick.findall(stretch)
+        out = b"".join([self.get(w) or self.learn(w) for w in found])
+        return self.keep(stretch, out)
 
     def learn(self, word: str) -> bytes:
-        if len(self.of_word) > self.most:
-            self.of_word.clear()
-        out = self.of_word[word] = np.array(self.merges.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+        plain = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        packed = self.packed
+        return self.keep(word, b"".join([packed[t.id] for t in self.merge(plain)]))
+
+    def keep(self, stretch: str, ids: bytes) -> bytes:
+        if len(self) > self.most:
+            self.clear()
+        self[stretch] = ids
+        return ids
 
     def ids(self, text: str) -> bytes:
         """As the library gives them; texts with special strings or unusual characters go to it whole."""

@@ -143,6 +143,22 @@ def test_pack_places_every_piece_without_gaps(docs, none):
     assert packing.pack(none, WORD_BPE).count() == 0
 
 
+def test_word_ids_equal_the_library_and_are_kept_once():
+    tk, words = Tokenizer.from_file(WORD_BPE), packing.WordIds(WORD_BPE)
+    library = lambda text: np.array(tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    new = [f"{w}{v}" for w in WORDS for v in ("ab", "onth", "ering")]
+    text = " ".join(f"{w} {w}, {w.title()}." for w in new)
+    assert words.ids(text) == library(text)
+    held = sum(len(d) for d in (words, *vars(words).values()) if isinstance(d, dict) and any(w in d for w in new))
+    assert held <= 3 * len(new) + 2  # a word, the word with either mark, and the marks; not each word in a second cache
+    rng = np.random.default_rng(8)
+    parts = ["word", "inthhalyor", ".", ",", "!", "'s", "'", "``", "É", "straße", "Ωμέγας", "你", "1", "²", "\x01", "\x1c", "\x7f", "_", " ", " ", "\n", "<|endoftext|>", "e\u0301"]
+    few = packing.WordIds(WORD_BPE, most=9)
+    for _ in range(400):
+        text = "".join(parts[i] for i in rng.integers(0, len(parts), 12))
+        assert words.ids(text) == few.ids(text) == library(text), text
+
+
 def test_plan_is_never_worse_than_best_fit():
     rng = np.random.default_rng(5)
     for scale, top in ((50, 2048), (2000, 700), (3000, 1400)):
