@@ -14,7 +14,7 @@ import os
 import re
 import zlib
 from dataclasses import dataclass
-from unicodedata import is_normalized
+from unicodedata import category, is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,11 @@ QUICK = r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 OUTSIDE = "[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ňŊ-ɏ‐-‧‰-⁞€]"
 
 
+def unassigned(text: str) -> bool:
+    """Whether a character is newer than Python's tables, on which the pattern's library and the vocabulary's may disagree."""
+    return any(category(c) == "Cn" for c in set(text))
+
+
 #: Marks that are a word of their own at the end of a stretch of letters.
 MARKS = frozenset(".,;:!?")
 
@@ -87,7 +92,7 @@ class WordIds(dict):
         """As the library gives them; texts with special strings or unusual characters go to it whole."""
         if "<|" in text and any(s in text for s in self.special):
             return self.encode(text)
-        if self.outside.search(text) and (not is_normalized("NFC", text) or "Σ" in text or "İ" in text or self.control.search(text)):
+        if self.outside.search(text) and (not is_normalized("NFC", text) or "Σ" in text or "İ" in text or self.control.search(text) or unassigned(text)):
             return self.encode(text)
         return b"".join(map(self.__getitem__, text.lower().split()))
 

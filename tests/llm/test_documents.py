@@ -159,6 +159,13 @@ def test_word_ids_equal_the_library_and_are_kept_once():
         assert words.ids(text) == few.ids(text) == library(text), text
 
 
+def test_word_ids_of_unassigned_characters():
+    tk, words = Tokenizer.from_file(WORD_BPE), packing.WordIds(WORD_BPE)
+    for c in (0x558, 0x58B, 0x88F, 0x1C89, 0xA7DC, 0x107BB, 0xE000, 0x1FFFE):
+        text = f"a{chr(c)}b, {chr(c)}. {chr(c)}1"
+        assert words.ids(text) == np.array(tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), hex(c)
+
+
 def test_plan_is_never_worse_than_best_fit():
     rng = np.random.default_rng(5)
     for scale, top in ((50, 2048), (2000, 700), (3000, 1400)):
