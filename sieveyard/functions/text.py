@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Word characters as Python's ``\w`` has them; Java's and RE2's own ``\w`` differ.
 WORD = r"[\p{L}\p{N}_]+"
@@ -16,15 +14,10 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-@F.pandas_udf(StringType())
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.str.normalize("NFC")
-
-
 def nfc(x: Column | str) -> Column:
-    """NFC; ASCII text, which always is, stays in the JVM."""
+    """NFC by the JVM's ICU; texts wholly below U+0300, which always are, are left alone."""
     x = col(x)
-    return F.when(x.rlike(r"[^\x00-\x7f]"), _nfc(x)).otherwise(x)
+    return F.when(x.rlike(r"[^\x00-\x{2ff}]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(False))).otherwise(x)
 
 
 def words(x: Column | str) -> Column:
